@@ -6,10 +6,11 @@ bucket that no shingle falls into takes its smallest hash under a permutation of
 of short texts agree with probability equal to the Jaccard similarity too. Bands of registers name
 buckets of candidates.
 
-Links are sought without all pairs of a group: first every member is held against two centres of its
-band, links are confirmed on the full sets, and components found. Then only members of different
-components in one band are compared, by their sketches in blocks, and what the collision-corrected
-estimate can't rule out is confirmed again: at first the nearest few of each, then all that is left.
+Links are sought without all pairs of a group: in a few rounds every class is held against two centres
+of other components that share a band with it, links are confirmed on the full sets, and components
+found. Then only members of different components in one band are compared, by their sketches in blocks,
+and what the collision-corrected estimate can't rule out is confirmed again: at first the nearest of
+each, then all that is left.
 """
 
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ CHANCE = 0.169919487159739 * M / 2**MANTISSA
 #: Standard errors below the threshold at which an estimate rules a pair out.
 ERRORS = 4.5
 BLOCK = 4096
+#: Rounds of centres before members are compared with each other.
+ROUNDS = 3
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,6 +212,22 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
+def stars(banded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Two pairs (centre, class) at most for each class in a band with other components.
+
+    A band's centres stand for the first and the last component in an order that differs with `turn`;
+    of the centres in all its bands a class takes the first of the first and the last of the last.
+    """
+    t = banded.join(labels, F.col("sid") == F.col("v"), "left").select("band", "sid", F.coalesce("label", "sid").alias("label"))
+    t = t.withColumn("x", F.struct(F.xxhash64("label", F.lit(turn)).alias("o"), "label", "sid"))
+    ends = t.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo.label <> hi.label")
+    t = t.join(ends, "band")
+    other = lambda end: F.when(F.col(f"{end}.label") != F.col("label"), F.col(end))
+    chosen = t.groupBy("sid").agg(F.min(other("lo")).alias("lo"), F.max(other("hi")).alias("hi"))
+    pairs = chosen.select(F.explode(F.array("lo.sid", "hi.sid")).alias("a"), F.col("sid").alias("b")).where("a is not null")
+    return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().select("a", "b")
+
+
 def across(banded: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, nearest: int | None) -> DataFrame:
     """Distinct pairs (a, b) of one band and different components that the estimate doesn't rule out.
 
@@ -272,16 +291,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     low = percent // (100 - percent)
     rows = written(band_rows(reps.where(F.col("n") >= low).where(F.col("rid").isNotNull())), "bands")
     ends = rows.groupBy("band").agg(F.min("sid").alias("c1"), F.max("sid").alias("c2")).where("c1 <> c2")
-    banded = written(rows.join(ends, "band"), "banded")
-    star = banded.select(F.explode(F.array("c1", "c2")).alias("a"), F.col("sid").alias("b")).where("a <> b").distinct()
+    banded = written(rows.join(ends.select("band"), "band", "left_semi"), "banded")
     links: DataFrame | None = None
     labels = None
-    for nearest in ("star", 8, None):
-        if nearest == "star":
-            pairs = written(likely(star, reps, percent), "pairs")
+    for turn in range(ROUNDS + 2):
+        known = labels if labels is not None else reps.limit(0).select(F.col("sid").alias("v"), F.col("sid").alias("label"))
+        if turn < ROUNDS:
+            pairs = written(likely(stars(banded, known, turn), reps, percent), "pairs")
         else:
-            known = labels if labels is not None else reps.limit(0).select(F.col("sid").alias("v"), F.col("sid").alias("label"))
-            pairs = written(across(banded.select("band", "sid"), known, reps, percent, nearest), "pairs")
+            pairs = written(across(banded, known, reps, percent, 1 if turn == ROUNDS else None), "pairs")
         if not pairs.limit(1).count():
             continue
         wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps.select("sid", "rid"), "sid")
