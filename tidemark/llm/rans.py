@@ -10,6 +10,7 @@ payload. Blocks are decoded in parallel and in any order.
 Two passes: ids are written once, counted, and only then coded, as the table must cover all of them.
 """
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,13 @@ HEADER = struct.Struct("<4sIIII")  # magic, tokens, lanes, steps, steps between
 LOW = np.uint64(1 << 32)
 WORD = np.uint64(32)
 BLOCK_TOKENS, LANES, EVERY = 1 << 19, 1024, 128
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word of Latin letters and the ASCII symbols after it: the library's pattern cuts there, and nowhere else in it.
+WORD = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]*)\Z")
+#: A byte-level vocabulary writes bytes as characters: visible ones of Latin-1 as themselves, the others from U+0100 on.
+_OWN = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
+_CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
+BYTES = {c: "".join(_CHARS[b] for b in chr(c).encode()) for c in range(256)}
 
 
 class Table:
@@ -127,36 +135,56 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
     return out.reshape(-1)[: max(0, n - begin * lanes)]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
-    """(id, n_tokens, ids as little-endian integers of 2 or 4 bytes) by the tokenizers library, end_id last.
+class Encoder(Memo):
+    """Ids of a chunk of text by the tokenizers library, as little-endian integers of `width`.
 
-    The library gets each text in the pieces between cuts that its own splitting never crosses, and
-    each piece once while it is remembered: the ids are those of the whole text.
+    A text is taken in chunks between cuts that the library's own splitting never crosses. A plain word, with
+    symbols after it or not, is one or two of the pieces the library would split it into; its word goes to
+    the library's model at once, in the characters that stand for bytes there. All else takes the whole way.
     """
 
+    def __init__(self, path: str, memo: int):
+        from tokenizers import Tokenizer
+
+        super().__init__(self._chunk, memo)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tails = Memo(lambda c: self.library.encode(c, add_special_tokens=False).ids, 10_000)
+
+    def blob(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, CHUNKS.findall(text or "")))
+
+    def _chunk(self, chunk: str) -> bytes:
+        word = WORD.match(chunk)
+        if word:
+            ids = [t.id for t in self.model.tokenize(word[1].translate(BYTES))]
+            if word[2]:
+                ids += self.tails[word[2]]
+        else:
+            ids = self.library.encode(chunk, add_special_tokens=False).ids
+        return np.array(ids, self.width).tobytes()
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
+    """(id, n_tokens, width, ids as little-endian integers of 2 or 4 bytes) by the tokenizers library, end_id last."""
+
     def setup():
         if path not in _loaded:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.encode_special_tokens = True
             _loaded.clear()
-            width = "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
-            _loaded[path] = width, Memo(lambda c: np.array(t.encode(c, add_special_tokens=False).ids, width).tobytes(), memo)
+            _loaded[path] = Encoder(path, memo)
         return _loaded[path]
 
-    def rows(state, ids, texts):
-        (width, known), out = state, []
-        end = np.array([end_id], width).tobytes()
-        for i, x in zip(ids, texts, strict=True):
-            blob = b"".join(map(known.__getitem__, CHUNKS.findall(x or ""))) + end
-            out.append((i, len(blob) // len(end), len(end), blob))
-        return out
+    def rows(encoder, ids, texts):
+        size, end = encoder.width.itemsize, np.array([end_id], encoder.width).tobytes()
+        blobs = [encoder.blob(x) + end for x in texts]
+        return [(i, len(b) // size, size, b) for i, b in zip(ids, blobs, strict=True)]
 
     return map_rows(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, width int, ids binary", rows, setup)
 
 
-_loaded: dict[str, tuple[str, Memo]] = {}
+_loaded: dict[str, Encoder] = {}
 
 
 def count_symbols(tokens: DataFrame) -> DataFrame:
