@@ -31,7 +31,7 @@ WORD = np.uint64(32)
 BLOCK_TOKENS, LANES, EVERY = 1 << 19, 1024, 128
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A word of Latin letters and the ASCII symbols after it: the library's pattern cuts there, and nowhere else in it.
-WORD = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]*)\Z")
+PLAIN = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]*)\Z")
 #: A byte-level vocabulary writes bytes as characters: visible ones of Latin-1 as themselves, the others from U+0100 on.
 _OWN = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
 _CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -157,7 +157,7 @@ class Encoder(Memo):
         return b"".join(map(self.__getitem__, CHUNKS.findall(text or "")))
 
     def _chunk(self, chunk: str) -> bytes:
-        word = WORD.match(chunk)
+        word = PLAIN.match(chunk)
         if word:
             ids = [t.id for t in self.model.tokenize(word[1].translate(BYTES))]
             if word[2]:
