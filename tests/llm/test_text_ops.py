@@ -200,3 +200,18 @@ def test_decontamination(spark):
     left = decontaminate.clean(docs_of(spark, texts), bench)
     assert {x["doc_id"] for x in left.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_rans_encoder_equals_library():
+    import random
+
+    import public_tokenizers
+
+    from tidemark.llm.rans import Encoder
+
+    encoder, r = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1000), random.Random(1)
+    letters = list("aZé'st.,'dll  \n\t09$_<|>-`ñ中̀’\x85 ǅª½")
+    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a{chr(c)}{m}b{chr(c)}" for c in range(1, 700) for m in ("", "é", ".")] + [None, "", "<|endoftext|>x", "don't.'s we'll'd", "a'" * 50]
+    for t in texts:
+        assert encoder.blob(t) == np.array(encoder.library.encode(t or "", add_special_tokens=False).ids, encoder.width).tobytes(), t
