@@ -89,7 +89,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
         F.count_distinct(F.when(F.col("n_owners") >= shared, F.col("hash"))).alias("n_shared"),
         F.collect_list(F.when((F.col("c.kind") == MIXED[0]) & (F.col("n_owners") < shared), F.col("c"))).alias("_live"),
     )
-    out = found.join(kinds, "_row", "left")
+    # documents without candidates have no row to meet: they pass by the join, or all of them would meet on a null key
+    none = found.where("_row is null").withColumns({"n_live": F.lit(0).cast("long"), "n_shared": F.lit(0).cast("long"), "_live": F.lit(None).cast(found.schema["_base"].dataType)})
+    out = found.where("_row is not null").join(kinds, "_row", "left").unionByName(none)
     count = lambda kind: F.size(F.filter("_base", lambda b: b["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         id_col, *[count(k[0]) for k in KINDS], F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
