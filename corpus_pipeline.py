@@ -3,6 +3,7 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, lines, minhash, quality
 from tidemark.llm.common import shared_dir, written
@@ -11,9 +12,9 @@ from tidemark.llm.queries import pattern, tokenizer
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are probably good. The model comes from all of them."""
-    featured = written(quality.features(docs.select("text")).select("_q"), "quality")
-    judged = quality.judge(quality.features(docs), quality.learn(featured))
-    return judged.where("kept").select(*docs.columns)
+    # the counts are written with their rows, once: taken into the filter, their expressions would run for each rule again
+    featured = written(quality.features(docs.select(F.struct("*").alias("_doc"), "text")).select("_doc", "_q"), "quality")
+    return quality.judge(featured, quality.learn(featured)).where("kept").select("_doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
