@@ -100,6 +100,16 @@ def test_html(spark):
     assert sorted(r["n_chars"] for r in html.main_text(df).collect()) == [0, len(html.extract(page))]
 
 
+def test_html_searches_all_lines_of_a_page():
+    long, card = "word " * 40, "teaser " * 7
+    cards = "".join(f"<article class=card><h3>Card {i}</h3><p>{card}</p></article>" for i in range(3))
+    for page in (f"<body><div id=content><h1>T</h1><p>{long}</p><p>{long}</p></div>{cards}</body>", f"<body>{cards}<div id=content><h1>T</h1><p>{long}</p><p>{long}</p></div></body>"):
+        got = html.extract(page).split("\n\n")
+        assert got.count(long.strip()) == 2 and "T" in got
+    bounded = f"<body><div>Site</div><article><h1>T</h1><ul><li>a</ul><p>b</p><ul><li>c</ul><p>{long}</p><p>end</article><div>Imprint</div></body>"
+    assert html.extract(bounded) == f"T\n\na\n\nb\n\nc\n\n{long.strip()}\n\nend"
+
+
 def test_url_rules_and_templates(spark):
     cases = [(None, "", ""), ("x/y", "", ""), ("http://A.Example.COM/en/1?q#f", "a.example.com", "/en/1"), ("s://h?x", "h", ""), ("a://b://c/d", "b:", "//c/d"), ("http://example.com/en/7x", "example.com", "/en/7x"), ("http://notcom/en/", "notcom", "/en/")]
     many = [(f"http://spam.org/{'es' if i % 2 else 'fr'}/{i}/", None, None) for i in range(40)]

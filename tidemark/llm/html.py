@@ -5,7 +5,8 @@ lines where a container begins or ends. Subtrees that aren't the article's text
 or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) leave an empty
 line. The lengths of the lines, without linked text, are summed over a sliding window; the text begins
 where the sum surges over the threshold and ends where it dives to nothing, and all lines between are
-kept, short ones too. Inside a page's <article> or <main> with a surge, that whole element is the text.
+kept, short ones too. Where lines surge inside <article> or <main> elements alone, and those hold most of
+the page's unlinked text, they bound it: the text reaches from the first line of them to the last.
 """
 
 import html
@@ -104,14 +105,26 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
+def _sums(size: list[int], window: int) -> list[int]:
+    return [sum(size[i : i + window]) for i in range(len(size))]
+
+
+def _bounded(found: list[tuple[str, int, bool]], window: int, surge: int) -> tuple[int, int] | None:
+    """From the first to behind the last line of the page's articles, if the text surges in them alone and most of it is there."""
+    own = [i for i, x in enumerate(found) if x[2] and x[0]]
+    inside, outside = ([len(t) - n if m == side else 0 for t, n, m in found] for side in (True, False))
+    if own and sum(inside) >= sum(outside) and max(_sums(outside, window)) < min(surge, max(1, *_sums(inside, window))):
+        return own[0], own[-1] + 1
+    return None
+
+
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text blocks of one page, joined by blank lines; empty if there are none."""
     found = lines(page or "")
-    own = [x for x in found if x[2] and x[0]]
-    if sum(len(t) - n for t, n, _ in own) >= surge or own and not any(t for t, _, m in found if not m):
-        return "\n\n".join(t for t, _, _ in own)
+    if bounds := _bounded(found, window, surge):
+        return "\n\n".join(t for t, _, _ in found[slice(*bounds)] if t)
     size = [len(t) - n for t, n, _ in found]
-    sums = [sum(size[i : i + window]) if size[i] or found[i][0] else 0 for i in range(len(size))]
+    sums = [x if size[i] or found[i][0] else 0 for i, x in enumerate(_sums(size, window))]
     kept, i = [], 0
     while i < len(found):
         if not found[i][0]:
@@ -125,8 +138,8 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
         elif kept == [] and j + 1 < len(found) and size[j + 1 : j + 1 + window] and sum(size[j + 1 : j + 1 + window]) >= surge and size[i]:
             kept += [t for t, _, _ in found[i:j]]  # a title in a container of its own, right before the surge
         i = j
-    if not kept and found:  # nothing surges: the fullest lines are all there is
-        kept = [t for t, _, _ in own] or [t for t, n, _ in found if t and n <= LINKS * len(t)]
+    if not kept:  # nothing surges: the fullest lines are all there is
+        kept = [t for t, n, m in found if t and (m or n <= LINKS * len(t))]
     return "\n\n".join(kept)
 
 
