@@ -110,6 +110,22 @@ def test_html_searches_all_lines_of_a_page():
     assert html.extract(bounded) == f"T\n\na\n\nb\n\nc\n\n{long.strip()}\n\nend"
 
 
+def test_html_keeps_short_containers_of_the_text():
+    long = ("word " * 40).strip()
+    links = "<div><ul><li><a href=x>a linked headline</a></li><li><a href=y>another linked one</a></li></ul></div>"
+    lead = f"{links}<div class=post><p>{long}</p><h2>Steps</h2>"
+    ends = {
+        "<ul><li>Mix</li><li>Bake</li></ul>": ["Mix", "Bake"],
+        "<blockquote>Quoth</blockquote>": ["Quoth"],
+        "<table><tr><td>1</td><td>2</td></tr></table>": ["1", "2"],
+        "<dl><dt>A</dt><dd>b</dd></dl>": ["A", "b"],
+        "<div><p>The end.</p></div>": ["The end."],
+        f"<ul><li>x</li></ul><ol><li><a href=z>see</a></li></ol><p>{long}</p><div>z</div>": ["x", "see", long, "z"],
+    }
+    for end, want in ends.items():
+        assert html.extract(f"<body>{lead}{end}</div>{links}</body>").split("\n\n") == [long, "Steps", *want]
+
+
 def test_url_rules_and_templates(spark):
     cases = [(None, "", ""), ("x/y", "", ""), ("http://A.Example.COM/en/1?q#f", "a.example.com", "/en/1"), ("s://h?x", "h", ""), ("a://b://c/d", "b:", "//c/d"), ("http://example.com/en/7x", "example.com", "/en/7x"), ("http://notcom/en/", "notcom", "/en/")]
     many = [(f"http://spam.org/{'es' if i % 2 else 'fr'}/{i}/", None, None) for i in range(40)]

@@ -4,8 +4,8 @@ Markup is stripped to blocks (lines): one for each paragraph, heading, list item
 lines where a container begins or ends. Subtrees that aren't the article's text by their element, role
 or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) leave an empty
 line. The lengths of the lines, without linked text, are summed over a sliding window; the text begins
-where the sum surges over the threshold and ends where it dives to nothing, and all lines between are
-kept, short ones too. Where lines surge inside <article> or <main> elements alone, and those hold most of
+where the sum first surges over the threshold and ends where it dives to nothing for the last time, and all
+lines between are kept, short ones and those in containers of their own too; lists of links behind it go. Where lines surge inside <article> or <main> elements alone, and those hold most of
 the page's unlinked text, they bound it: the text reaches from the first line of them to the last.
 """
 
@@ -124,20 +124,24 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     if bounds := _bounded(found, window, surge):
         return "\n\n".join(t for t, _, _ in found[slice(*bounds)] if t)
     size = [len(t) - n for t, n, _ in found]
-    sums = [x if size[i] or found[i][0] else 0 for i, x in enumerate(_sums(size, window))]
-    kept, i = [], 0
+    sums = [x if found[i][0] else 0 for i, x in enumerate(_sums(size, window))]
+    runs, i = [], 0  # lines between two container edges
     while i < len(found):
-        if not found[i][0]:
-            i += 1
-            continue
         j = i
-        while j < len(found) and found[j][0]:  # up to the dive: an empty line, where nothing follows in the container
+        while j < len(found) and found[j][0]:
             j += 1
-        if max(sums[i:j]) >= surge and sum(n for _, n, _ in found[i:j]) <= LINKS * sum(len(t) for t, _, _ in found[i:j]):
-            kept += [t for t, _, _ in found[i:j]]
-        elif kept == [] and j + 1 < len(found) and size[j + 1 : j + 1 + window] and sum(size[j + 1 : j + 1 + window]) >= surge and size[i]:
-            kept += [t for t, _, _ in found[i:j]]  # a title in a container of its own, right before the surge
-        i = j
+        if i < j:
+            runs.append((i, j))
+        i = j + 1
+    text = [sum(n for _, n, _ in found[i:j]) <= LINKS * sum(len(t) for t, _, _ in found[i:j]) for i, j in runs]
+    first = next((k for k, (i, j) in enumerate(runs) if text[k] and max(sums[i:j]) >= surge), None)
+    kept: list[str] = []
+    if first is not None:
+        i, j = runs[max(0, first - 1)]
+        if size[i] and sums[runs[first][0]] >= surge:  # a title in a container of its own, right before the surge
+            first = max(0, first - 1)
+        last = max(k for k in range(len(runs)) if text[k])  # the sums dive to nothing behind it, save for links
+        kept = [t for t, _, _ in found[runs[first][0] : runs[last][1]] if t]
     if not kept:  # nothing surges: the fullest lines are all there is
         kept = [t for t, n, m in found if t and (m or n <= LINKS * len(t))]
     return "\n\n".join(kept)
