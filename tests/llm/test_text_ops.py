@@ -126,6 +126,26 @@ def test_html_keeps_short_containers_of_the_text():
         assert html.extract(f"<body>{lead}{end}</div>{links}</body>").split("\n\n") == [long, "Steps", *want]
 
 
+def test_html_ends_dropped_elements_without_end_tags():
+    cases = {
+        "<p class=notice>Hi<p>Body</p><p>More</p>": ["Body", "More"],
+        "<div><p class=legal>Hi</div><p>Body</p>": ["Body"],
+        "<p class=notice>Hi<b>!<div>Body</div><p>More": ["Body", "More"],
+        "<ul><li class=social>Hi<li>Body</li><li>More</ul><p>End</p>": ["Body", "More", "End"],
+        "<ul><li class=social>Hi<ul><li>in<li>in</ul>Hi<li>Body</ul>": ["Body"],
+        "<ul><li class=social>Hi</ul><ul><li>Body</li></ul>": ["Body"],
+        "<dl><dt class=related>Hi<dd class=related>Hi<dt>Body<dd>More</dl>": ["Body", "More"],
+        "<table><tr class=search><td>Hi<td>Hi<tr><td class=ad>Hi<td>Body</td></tr></table><p>End</p>": ["Body", "End"],
+        "<table><tr><td><p class=ad>Hi<td>Body<tr><td class=ad>Hi</table><p>End</p>": ["Body", "End"],
+        "<div><div class=ad>Hi<p>Hi<div>Hi</div>Hi</div><p>Body</div>": ["Body"],
+        "<aside>Hi<p>Hi<ul><li>Hi</ul></div>Hi</aside><p>Body": ["Body"],
+        "<p>Body <span class=ad>Hi<div>Hi</div></span> more</p>": ["Body", "more"],
+    }
+    for page, want in cases.items():
+        assert " ".join(html.extract(f"<body>{page}</body>").split()) == " ".join(want), page
+    assert html.extract("<div><p class=ad>x<table><tr><td>" + "<div></p></li></q>" * 50_000 + "</table>Body") == "Body"
+
+
 def test_url_rules_and_templates(spark):
     cases = [(None, "", ""), ("x/y", "", ""), ("http://A.Example.COM/en/1?q#f", "a.example.com", "/en/1"), ("s://h?x", "h", ""), ("a://b://c/d", "b:", "//c/d"), ("http://example.com/en/7x", "example.com", "/en/7x"), ("http://notcom/en/", "notcom", "/en/")]
     many = [(f"http://spam.org/{'es' if i % 2 else 'fr'}/{i}/", None, None) for i in range(40)]

@@ -28,6 +28,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROP = frozenset("nav footer aside form dialog menu fieldset".split())
 CONTAINERS = frozenset("article main section div body table ul ol dl header details blockquote figure".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr address caption figcaption summary center".split())
+#: What the start of an element ends by HTML's rules, if open: a paragraph, or its own kind.
+P_ENDS = frozenset(
+    """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu
+    nav ol p pre search section summary table ul li dt dd""".split()
+)
+ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")} | dict.fromkeys(("tbody", "thead", "tfoot"), ("tbody", "thead", "tfoot", "tr", "td", "th"))
+#: Elements whose end tag may be left out.
+OMITTED = frozenset({"p", *ITEMS, *CELLS})
+WALLS = ("table", "td", "th", "caption")
+SPECIAL = BLOCKS | DROP | P_ENDS | frozenset("tbody thead tfoot html".split())
 #: Words in a class, id or role that name what surrounds an article.
 AROUND = frozenset(
     """ad ads advert adverts advertisement advertising banner sidebar menu nav navbar navigation topbar cookie cookies consent gdpr notice notices
@@ -52,12 +63,63 @@ def _dropped(name: str, tag: str, inside: bool) -> bool:
     return False
 
 
+class _Open:
+    """The open elements, ended by their tags and by HTML's implied ends. A step costs what it opens or ends."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}  # places of each name; of "*", all but inline elements; of "#", those without address, div and p
+
+    def last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
+
+    def cut(self, k: int) -> None:
+        while len(self.names) > k:
+            for n in self.kinds(self.names.pop()):
+                self.at[n].pop()
+
+    @staticmethod
+    def kinds(name: str) -> tuple[str, ...]:
+        return (name,) if name not in SPECIAL else (name, "*") if name in ("address", "div", "p") else (name, "*", "#")
+
+    def push(self, name: str) -> None:
+        for n in self.kinds(name):
+            self.at.setdefault(n, []).append(len(self.names))
+        self.names.append(name)
+
+    def start(self, name: str, dropped: int) -> None:
+        """Ends what the start of an element of this name ends, as `end` does."""
+        if name in ITEMS and (k := self.last(*ITEMS[name])) >= 0 and k == self.last("#") and self.may(k, dropped):
+            self.cut(k)
+        if name in CELLS and (ends := [k for n in CELLS[name] if (k := self.last(n)) > self.last("table") and self.may(k, dropped)]):
+            self.cut(min(ends))
+        if name in P_ENDS and (k := self.last("p")) > self.last(*WALLS) and self.may(k, dropped):
+            self.cut(k)
+
+    def may(self, k: int, dropped: int) -> bool:
+        return k > dropped or dropped < len(self.names) and self.names[dropped] in OMITTED
+
+    def end(self, name: str, dropped: int) -> None:
+        """The end tag of `name`. What is dropped from the place `dropped` on ends by its own end tag, or by that of an element around it if its own may be left out."""
+        k = self.last(name)
+        if name == "table":
+            wall = -1
+        elif name in CELLS or name == "caption":
+            wall = self.last("table")
+        elif name in SPECIAL:
+            wall = self.last(*WALLS, *(("ul", "ol", "menu") if name == "li" else ()))
+        else:
+            wall = self.last("*")
+        if k >= 0 and (k == dropped or k > wall and self.may(k, dropped)):
+            self.cut(k)
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of it in links, whether inside an article or main) of every block; ("", 0, ..) between containers."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked, in_link, main = 0, 0, 0
-    skip, depth = "", 0
+    opened, skip, base = _Open(), "", -1
     at = 0
 
     def close(gap: bool) -> None:
@@ -70,7 +132,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         parts, linked = [], 0
 
     for m in TAG.finditer(page):
-        if not skip and m.start() > at:
+        if base < 0 and m.start() > at:
             parts.append(page[at : m.start()])
             linked += in_link and m.start() - at
         at = m.end()
@@ -81,15 +143,22 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not named:
             continue
         name, end = named.group(1).lower(), tag[1] == "/"
-        if skip:
-            if name == skip and not tag.endswith("/>"):
-                depth += -1 if end else 1
-                if not depth:
-                    skip = ""
+        alone = name in VOID or tag.endswith("/>")
+        if end:
+            opened.end(name, base)
+        else:
+            opened.start(name, base)
+        if base >= 0 and len(opened.names) <= base:
+            base = -1
+            if end and name == skip:
+                continue
+        if not end and not alone:
+            opened.push(name)
+        if base >= 0:
             continue
-        if not end and name not in VOID and not tag.endswith("/>") and _dropped(name, tag, main > 0) and re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at):
+        if not end and not alone and _dropped(name, tag, main > 0) and (name in OMITTED or re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)):
             close(True)
-            skip, depth = name, 1
+            skip, base = name, len(opened.names) - 1
             continue
         if name == "br":
             parts.append(" ")
@@ -99,7 +168,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close(name in CONTAINERS)
             if name in ("article", "main"):
                 main = max(0, main + (-1 if end else 1))
-    if not skip:
+    if base < 0:
         parts.append(page[at:])
     close(False)
     return out
