@@ -117,6 +117,36 @@ def test_line_dedup(spark):
     assert lines.dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    r = random.Random(3)
+    bases = ["the anhely eran.", "dos tres  cuatro", "a b c d e f g h", "漢字かな交じり文です", "x", "ab", "abcdefgh", "one two three four five six seven", "x" * 300]
+    rows = ["the anhely eran.\nthe, anhely eran.", "The  anhely\tERAN.", "a b c d e f gh", "1.\n2.", "Yes\nYES\n yes", "abcdefg"]
+    for _ in range(150):
+        s = list(r.choice(bases))
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(s) + 1)
+            s[k : k + r.randint(0, 1)] = r.choice(["", "Z", " ", "漢", "q"])
+        rows.append("".join(s))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), short=True).collect()}
+    earlier, fuzzy = [], 0
+    for i, text in enumerate(rows):
+        kept = []
+        for line in text.split("\n"):
+            w = [x for x in BLANK.split(line.lower()) if x]
+            s = " ".join(w)
+            near = any(
+                line == o or len(w) <= 8 and len(v) <= 8 and (s == " ".join(v) or max(len(s), len(" ".join(v))) >= 8 and one_edit(s, " ".join(v))) or len(w) >= 8 and len(v) >= 8 and one_edit(w, v)
+                for o, v in earlier
+            )
+            if not w or not near:
+                kept.append(line)
+            fuzzy += near and all(line != o for o, _ in earlier)
+            if w:
+                earlier.append((line, w))
+        assert got[i] == "\n".join(kept), (i, text, got[i])
+    assert fuzzy > 20 and got[0] == "the anhely eran." and got[1] == "" and got[3] == "1.\n2." and got[4] == "Yes"
+
+
 def test_chat(spark):
     r = random.Random(4)
     full = [[(("user", "assistant")[k % 2], r.choice(["hi", None, "漢", "x" * 5000, ""])) for k in range(r.randint(1, 6))] for _ in range(25)]

@@ -2,12 +2,16 @@
 
 The first occurrence of a line, by (id, document, place), stays. A line goes if it is equal to an
 earlier one or, with `min_words` words or more, one word edit (insertion, deletion, substitution) or
-a change of case or spacing away from an earlier one, kept or not. Blank lines stay.
+a change of case or spacing away from an earlier one, kept or not. Blank lines stay. With `short`, lines
+of fewer words go as well: by a change of case or spacing, or one character edit (words lowered and a
+space apart) if the longer of the two has `min_words` characters or more. There a line of exactly
+`min_words` words counts with them, as one space more or less makes a line of this size of a short one.
 
+Both are edits of tokens, words in the one case and characters in the other, and found alike.
 Equal lines are grouped by hashes, so from there on each distinct line is one row. Two lines one edit
 apart share their first or their last half; only lines that share a half with another one emit their
-deletion neighbourhood (the line without each of its words, and whole) as hashed keys. Equal keys are
-joined, each line takes the earliest line it meets there (never all pairs of a group), and the words of
+deletion neighbourhood (the line without each of its tokens, and whole) as hashed keys. Equal keys are
+joined, each line takes the earliest line it meets there (never all pairs of a group), and the tokens of
 the two are compared before it goes.
 """
 
@@ -25,6 +29,20 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), BLANKS), lambda x: x != "")
 
 
+def _tokens(w: Column, min_words: int, short: bool) -> Column:
+    """(f, w) of each way to edit a line of the words w: by words (f = 0), by characters (f = 1)."""
+    words = F.filter(F.array(F.struct(F.lit(0).alias("f"), w.alias("w"))), lambda _: F.size(w) >= min_words)
+    if not short:
+        return words
+    # split only where it's wanted: long lines have no array of characters
+    chars = F.split(F.when(F.size(w) <= min_words, F.array_join(w, " ")), "")
+    return F.concat(words, F.filter(F.array(F.struct(F.lit(1).alias("f"), chars.alias("w"))), lambda x: x["w"].isNotNull()))
+
+
+def _hashes(t: Column) -> Column:
+    return F.transform(t["w"], lambda x: F.xxhash64(x, t["f"]))
+
+
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(text_col, F.lit("")))
     d = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("k"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
@@ -51,49 +69,55 @@ def _bitmap(ids: DataFrame, col: str) -> DataFrame:
     return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "m"))), lambda x: x["m"]).alias("bits"))
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, short: bool = False) -> DataFrame:
     """(id, k, pos): the lines that go, by document (its id and a hash of id and text) and place."""
     lines = _exploded(docs, id_col, text_col)
-    seen = written(lines.select("id", "k", "pos", "h", "g", F.transform(_words(F.col("line")), lambda x: F.xxhash64(x)).alias("w")).select("id", "k", "pos", "h", "g", F.size("w").alias("n"), F.when(F.size("w") >= min_words, _halves(F.col("w"), F.size("w"))).alias("halves")), "lines")
-    first = seen.groupBy("h", "g").agg(F.min(F.struct("id", "k", "pos")).alias("o"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    # step by step: an expression that is used more than once in a step is worked out more than once
+    hashed = lines.select("id", "k", "pos", "h", "g", _words(F.col("line")).alias("w"))
+    hashed = hashed.select("id", "k", "pos", "h", "g", F.transform(_tokens(F.col("w"), min_words, short), _hashes).alias("t"))
+    halves = F.flatten(F.transform("t", lambda x: _halves(x, F.size(x))))
+    seen = written(hashed.select("id", "k", "pos", "h", "g", F.when(F.size("t") > 0, halves).alias("halves")), "lines")
+    first = seen.groupBy("h", "g").agg(F.min(F.struct("id", "k", "pos")).alias("o"), F.first("halves").alias("halves"))
     first = written(first, "distinct")
     keys = first.where("halves is not null").select("h", "g", F.explode("halves").alias("half"))
     met = keys.groupBy("half").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).where("_a <> _b").select("half")
-    alike = written(keys.join(met, "half", "left_semi").select("h", "g").distinct().join(first, ["h", "g"]).select("h", "g", "o", "n"), "alike")
+    alike = written(keys.join(met, "half", "left_semi").select("h", "g").distinct().join(first, ["h", "g"]).select("h", "g", "o"), "alike")
     bits = written(_bitmap(alike, "h"), "filter")
     at = F.pmod(F.col("h"), F.lit(FILTER_BITS))
     passes = F.call_function("shiftright", F.get(bits.select("bits").scalar(), F.shiftright(at, 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
     texts = lines.where(passes).select(F.struct("id", "k", "pos").alias("o"), F.col("h"), F.col("g"), "line").join(alike, ["h", "g", "o"])
     # rows with equal id and text are one document, so the first place may be met more than once
     words = texts.groupBy("o").agg(F.first("line").alias("line")).select("o", _words(F.col("line")).alias("w"))
-    words = written(words.select("o", "w", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh")), "words")
+    words = words.select("o", F.explode(_tokens(F.col("w"), min_words, short)).alias("t"))
+    words = written(words.select("o", "t.f", "t.w", F.size("t.w").alias("n"), _hashes(F.col("t")).alias("wh")), "words")
     whole = F.struct(F.lit(-1).alias("i"), F.xxhash64("wh").alias("v"))
     less = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("wh", F.lit(1), i), F.slice("wh", i + 2, F.col("n"))).alias("v")))
-    variants = words.select("o", "n", F.explode(F.concat(F.array(whole), less)).alias("x")).select("o", "n", "x.i", "x.v")
+    less = F.filter(less, lambda _: F.col("n") >= min_words)
+    variants = words.select("o", "f", "n", F.explode(F.concat(F.array(whole), less)).alias("x")).select("o", "f", "n", "x.i", "x.v")
     variants = written(variants, "variants")
     # the earliest line of each way to be one edit away: same place substituted, this one longer, this one shorter
-    same = variants.groupBy("v", "n", "i").agg(F.min("o").alias("m"))
-    shorter = variants.where("i = -1").groupBy("v").agg(F.min("o").alias("m"))
-    longer = variants.where("i >= 0").groupBy("v").agg(F.min_by(F.struct("o", "i"), "o").alias("mi")).select("v", F.col("mi.o").alias("m"), F.col("mi.i").alias("mi"))
-    a = variants.join(same, ["v", "n", "i"]).select("o", "i", F.col("i").alias("mi"), "m")
-    b = variants.where("i >= 0").join(shorter, "v").select("o", "i", F.lit(-1).alias("mi"), "m")
-    c = variants.where("i = -1").join(longer, "v").select("o", "i", "mi", "m")
-    near = a.unionByName(b).unionByName(c).where(F.col("m") < F.col("o")).groupBy("o").agg(F.min(F.struct("m", "i", "mi")).alias("x")).select("o", "x.*")
-    left, right = words.select("o", F.col("w").alias("a")), words.select(F.col("o").alias("m"), F.col("w").alias("b"))
+    same = variants.groupBy("v", "f", "n", "i").agg(F.min("o").alias("m"))
+    shorter = variants.where("i = -1").groupBy("v", "f").agg(F.min("o").alias("m"))
+    longer = variants.where("i >= 0").groupBy("v", "f").agg(F.min_by(F.struct("o", "i"), "o").alias("mi")).select("v", "f", F.col("mi.o").alias("m"), F.col("mi.i").alias("mi"))
+    a = variants.join(same, ["v", "f", "n", "i"]).select("o", "f", "i", F.col("i").alias("mi"), "m")
+    b = variants.where("i >= 0").join(shorter, ["v", "f"]).select("o", "f", "i", F.lit(-1).alias("mi"), "m")
+    c = variants.where("i = -1").join(longer, ["v", "f"]).select("o", "f", "i", "mi", "m")
+    near = a.unionByName(b).unionByName(c).where(F.col("m") < F.col("o")).groupBy("o").agg(F.min(F.struct("m", "i", "mi", "f")).alias("x")).select("o", "x.*")
+    left, right = words.select("o", "f", F.col("w").alias("a")), words.select(F.col("o").alias("m"), "f", F.col("w").alias("b"))
     without = lambda w, i: F.when(F.col(i) < 0, F.col(w)).otherwise(F.concat(F.slice(w, F.lit(1), F.col(i)), F.slice(w, F.col(i) + 2, F.size(w))))
-    sure = near.join(left, "o").join(right, "m").where(without("a", "i") == without("b", "mi")).select(F.col("o"), F.lit(True).alias("near"))
+    sure = near.join(left, ["o", "f"]).join(right, ["m", "f"]).where(without("a", "i") == without("b", "mi")).select(F.col("o"), F.lit(True).alias("near"))
     judged = first.select("h", "g", "o").join(sure, "o", "left")
     out = seen.select("id", "k", "pos", "h", "g").join(judged, ["h", "g"])
     gone = F.col("near").isNotNull() | ~(F.struct("id", "k", "pos").eqNullSafe(F.col("o")))
     return out.where(gone).select("id", "k", "pos")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, short: bool = False) -> DataFrame:
     """docs with their text less the lines that go, and n_dropped, the count of those. All rows stay.
 
     A null text stays null; a text whose lines all go is empty. Other columns are untouched.
     """
-    gone = duplicates(docs, id_col, text_col, min_words).groupBy("id", "k").agg(F.collect_set("pos").alias("_gone"))
+    gone = duplicates(docs, id_col, text_col, min_words, short).groupBy("id", "k").agg(F.collect_set("pos").alias("_gone"))
     key = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(text_col, F.lit("")))
     d = docs.withColumn("_k", key)
     d = d.join(gone.select(F.col("id").alias("_id"), F.col("k").alias("_key"), "_gone"), (F.col("_k") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")

@@ -50,7 +50,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+    return lines.dedup(_table(spark, sf_dir, "documents"), short=True).select("doc_id", "text", "n_dropped")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
