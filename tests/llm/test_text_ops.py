@@ -164,6 +164,17 @@ def test_url_rules_and_templates(spark):
     assert urls.judge(df.limit(0), more).count() == 0
 
 
+def test_url_templates_reach_the_deepest_segment(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    rules = [("block", "site.com/a/b/c/spam/")]
+    paths = ["/a/b/c/spam/x"] + [f"/a/b/c/docs/{word(i)}" for i in range(20)] + [f"/d/e/f/g/{word(i)}/end" for i in range(20)] + ["/d" * 3000]
+    df = spark.createDataFrame([(i, f"http://site.com{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r["path"]: r for r in urls.judge(df, rules).collect()}
+    assert len(got) == len(paths) and {p for p, r in got.items() if r["verdict"] == "block"} == {"/a/b/c/spam/x"}
+    assert {got[p]["template"] for p in paths[1:21]} == {"/a/b/c/docs/*"} and {got[p]["template"] for p in paths[21:41]} == {"/d/e/f/g/*/end"}
+    assert got[paths[0]]["template"] in ("/a/b/c/spam/x", "/*/b/c/spam/x") and got[paths[-1]]["template"] == "/d" * 3000
+
+
 def test_secrets(spark):
     kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)]
     texts = [None, "", "é\x01 token=secret:abcdefghijklmnop", "PassWord = 'abcdefABCDEF1' AKIA" + "Z9" * 8 + " deadbeefdeadbeef0", "漢token=abc secret=0123456789abcdef0", "AKIAAKIA" + "A" * 13, "Kk9_" * 9 + " x", "Kk9_" * 9]
