@@ -259,6 +259,25 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    r = random.Random(6)
+    items = ["What is  2+2?", "art", "Who won?", "漢字", "x" * 39, "who won?", "no such thing", "é", " "]
+    texts = [None, "", "q: what\nis 2+2? a: 4", "party", "An ART.", "who won", "(who won?)", "彼は漢字を", "x" * 39, "x" * 40, "Étude é", "start"]
+    texts += ["".join(r.choice(["a", "art", " ", "é", "漢字", ".", "who won?", "\n"]) for _ in range(r.randint(1, 9))) for _ in range(200)]
+    norm = lambda x: " ".join((x or "").lower().split())
+    word = lambda c: c.isalnum() and c < "\u2e80"
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            a, b = norm(t), norm(item)
+            places = [i for i in range(len(a) - len(b) + 1) if b and a[i : i + len(b)] == b]
+            free = [i for i in places if not (i and word(a[i - 1]) and word(a[i])) and not (i + len(b) < len(a) and word(a[i + len(b) - 1]) and word(a[i + len(b)]))]
+            want |= {(d, k, 0, i, i + len(b)) for i in free[:1]}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {tuple(x) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()} == want
+    assert {(2, 0), (4, 1), (6, 2), (6, 5), (7, 3), (8, 4), (10, 7)} <= {x[:2] for x in want} and not {3, 5, 9, 11} & {x[0] for x in want}
+
+
 def test_rans_encoder_equals_library():
     import random
 

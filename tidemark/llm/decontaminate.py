@@ -5,10 +5,11 @@ more than e apart. First the item's disjoint q-grams: e edits spoil e of them at
 m // q - e occur in the passage unchanged. Their places in a text are found by a rolling hash over
 the whole text and counted in overlapping diagonal bands; bands with too few are dropped. In what is
 left all q-grams are counted against the lemma's bound, m - q + 1 - e * q, and then the item is aligned
-with the passage in the band. A match is a passage within e = floor(rate * m) edits.
+with the passage in the band. A match is a passage within e = floor(rate * m) edits. Items of few
+characters are looked up verbatim, by hashes of windows of their lengths.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ Q, RATE, MIN_CHARS = 8, 0.1, 40
 #: Characters of benchmark text in one index; a larger benchmark is scanned in blocks.
 BLOCK_CHARS = 8 << 20
 BITS = 22
+#: From here on scripts set no spaces between words, so that none is cut (CJK; Hangul too).
+UNSPACED = 0x2E80
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = {k: np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4)}
 
@@ -38,15 +41,28 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _windows(codes: np.ndarray, lengths: Iterable[int]) -> dict[int, np.ndarray]:
+    """Hashes of the so many characters from each place, for each of the lengths that fits."""
+    out, h = {}, np.zeros(len(codes) + 1, np.uint64)
+    for n in range(1, min(max(lengths, default=0), len(codes)) + 1):
+        h = h[:-1] * _P + codes[n - 1 :].astype(np.uint64) + np.uint64(1)
+        if n in lengths:
+            out[n] = h
+    return out
+
+
 class Index:
-    """The disjoint q-grams of a block of items; items under MIN_CHARS are too short to tell and are left out."""
+    """The disjoint q-grams of a block of items. Items under MIN_CHARS have no edits; they match verbatim, as whole words."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         keys, of, at = [], [], []
+        self.short: dict[int, dict[int, list[tuple]]] = {}  # by length and hash
         self.items: list[tuple] = []
         for item_id, text in items:
             codes = normal(text)
             if len(codes) < MIN_CHARS:
+                if len(codes):
+                    self.short.setdefault(len(codes), {}).setdefault(int(_windows(codes, [len(codes)])[len(codes)][0]), []).append((item_id, codes))
                 continue
             all_, edits = grams(codes), int(rate * len(codes))
             mine = all_[::Q][: len(codes) // Q]
@@ -77,6 +93,24 @@ class Index:
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, edits, start, end) of the best match of each item, in normalised characters."""
         codes = normal(text)
+        return self._near(codes) + self._whole(codes)
+
+    def _whole(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item."""
+        out = []
+        word = lambda i: 0 <= i < len(codes) and codes[i] < UNSPACED and chr(codes[i]).isalnum()
+        for n, h in _windows(codes, self.short).items():
+            missing = dict(self.short[n])
+            for i in np.flatnonzero(np.isin(h, np.array(list(missing), np.uint64))).tolist():
+                if (key := int(h[i])) in missing and not (word(i - 1) and word(i)) and not (word(i + n - 1) and word(i + n)):
+                    found = [x for x in missing[key] if (x[1] == codes[i : i + n]).all()]
+                    out += [(x[0], 0, i, i + n) for x in found]
+                    missing[key] = [x for x in missing[key] if not (x[1] == codes[i : i + n]).all()]
+                    if not missing[key]:
+                        del missing[key]
+        return out
+
+    def _near(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         if len(codes) < Q or not self.items:
             return []
         h = grams(codes)
@@ -162,7 +196,8 @@ def align(item: np.ndarray, text: np.ndarray, edits: int, low: int, high: int) -
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, edits, start, end) for each document and item it holds a passage of; start and end in
-    normalised characters (lower case, single spaces). Null and short texts and items match nothing.
+    normalised characters (lower case, single spaces). Items under MIN_CHARS match verbatim only, where no word is cut at
+    either end. Null and empty texts and items match nothing.
 
     The benchmark is collected in blocks of BLOCK_CHARS, and each block's index is broadcast; the whole
     corpus is scanned once for each block.
