@@ -191,6 +191,13 @@ def test_secrets(spark):
     assert secrets.find(one).first()["spans"] == "mixed:0:36"
 
 
+def test_secrets_count_copies_of_a_document_once(spark):
+    key, other = "Kk9_" * 9, "Zz8_" * 9
+    rows = [(1, f"{key} x", "a", "en"), (2, f"{key} x", "b", "en"), (3, f"{other} x", "a", "en"), (4, f"{other} y", "b", "en")]
+    got = {r["doc_id"]: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert [(got[i]["n_live"], got[i]["n_shared"], got[i]["spans"]) for i in (1, 2, 3, 4)] == [(1, 0, "mixed:0:36")] * 2 + [(0, 1, "")] * 2
+
+
 def test_quality(spark):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     texts = [None, "", "a b c a b c a b c", "x\x0by\n\n \nx\x0by", "w " * 5000, "é# *| <&>$%"] + [r["text"] for r in real(spark).collect()]

@@ -64,16 +64,22 @@ def ownership(candidates: DataFrame, owner: str = "owner", repo: str = "repo", h
     return owners.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n_owners"), F.sum("_repos").alias("n_repos"))
 
 
+def _once(candidates: DataFrame) -> DataFrame:
+    """Copies of one document (equal `_doc`) hold a value once, under the first of their owners."""
+    first = candidates.groupBy("hash", "_doc").agg(F.min(F.struct("owner", "repo")).alias("x"))
+    return first.select("hash", "x.*")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None, shared: int = 2) -> DataFrame:
     """One row per document: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared.
 
     base_sha256 is of the base spans; spans also has the method's `mixed` ones outside base spans that
     look live (held by fewer than `shared` owners). n_live and n_shared count the document's distinct
-    candidate values by ownership. A null owner is an owner of its own; rows with equal ids stay apart.
+    candidate values by ownership, where exact copies of a document count as one. A null owner is an owner of its own; rows with equal ids stay apart.
     """
     owner = F.coalesce(owner if owner is not None else F.col("source"), F.lit("")).cast("string")
     repo = F.coalesce(repo if repo is not None else F.concat_ws("/", "source", "lang"), F.lit("")).cast("string")
-    found = scan(docs.select(F.col(id_col), F.col(text_col), owner.alias("owner"), repo.alias("repo")), id_col, text_col)
+    found = scan(docs.select(F.col(id_col), F.col(text_col), owner.alias("owner"), repo.alias("repo"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_doc")), id_col, text_col)
     inside = lambda m: F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     found = found.withColumn("_mixed", F.filter("_mixed", lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]") & ~inside(m)))
     all_ = F.concat("_base", "_mixed")
@@ -81,9 +87,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     from tidemark.llm.common import written
 
     found = written(found, "secrets")
-    some = found.where("_row is not null").select("_row", "owner", "repo", F.explode(F.concat("_base", "_mixed")).alias("c"))
-    some = some.select("_row", "owner", "repo", F.xxhash64("c.value").alias("hash"), "c")
-    owned = ownership(some)
+    some = found.where("_row is not null").select("_row", "owner", "repo", "_doc", F.explode(F.concat("_base", "_mixed")).alias("c"))
+    some = some.select("_row", "owner", "repo", "_doc", F.xxhash64("c.value").alias("hash"), "c")
+    owned = ownership(_once(some))
     kinds = some.join(owned, "hash").groupBy("_row").agg(
         F.count_distinct(F.when(F.col("n_owners") < shared, F.col("hash"))).alias("n_live"),
         F.count_distinct(F.when(F.col("n_owners") >= shared, F.col("hash"))).alias("n_shared"),
