@@ -22,15 +22,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, short=True).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a key of each row in the order of their ids (nulls last) and texts, written: ids may repeat or be null."""
+    order = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "_at")
+    return written(order.select(*docs.columns, F.monotonically_increasing_id().alias("_row")), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
-    kept = written(minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    rows = _keyed(docs)
+    kept = written(minhash.near_duplicates(rows, percent=80, id_col="_row").where("kept").select("_row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ids may repeat or be null
+    return decontaminate.clean(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

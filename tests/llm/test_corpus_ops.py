@@ -173,6 +173,19 @@ def test_chat_same_as_sql(spark):
     assert same(spark, queries.QUERIES["op10_chat"], queries.ORACLES["op10_chat"]) > 0
 
 
+def test_pipeline_keys_rows_not_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    passage = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(2, a, "x"), (2, a, "x"), (3, b, "x"), (3, a, "x"), (None, c, "x"), (None, c, "y"), (None, b, "x"), (None, passage, "x"), (1, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    near = pipeline.near_dedup(spark, docs, d).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in near) == sorted([(2, a), (3, b), (0, c), (0, passage), (1, "")])
+    clean = pipeline.decontamination(spark, docs, d)
+    assert clean.columns == docs.columns and sorted(map(str, clean.collect())) == sorted(map(str, docs.where(f"text is null or text <> '{passage}'").collect()))
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
