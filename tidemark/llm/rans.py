@@ -13,29 +13,32 @@ Two passes: ids are written once, counted, and only then coded, as the table mus
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import CHUNKS, Memo
-from tidemark.llm.common import map_rows, shared_dir, slices, written
+from tidemark.llm.common import shared_dir, slices, written
 
 MAGIC = b"RAB1"
 HEADER = struct.Struct("<4sIIII")  # magic, tokens, lanes, steps, steps between checkpoints
 LOW = np.uint64(1 << 32)
 WORD = np.uint64(32)
-BLOCK_TOKENS, LANES, EVERY = 1 << 19, 1024, 128
+BLOCK_TOKENS, LANES, EVERY = 1 << 20, 4096, 64
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A word of Latin letters and the ASCII symbols after it: the library's pattern cuts there, and nowhere else in it.
-PLAIN = re.compile(rf"( ?[{LETTERS}]+)([!-/:-@\[-`{{-~]*)\Z")
+PLAIN = re.compile(rf"([{LETTERS}]+)([!-/:-@\[-`{{-~]*)\Z")
 #: A byte-level vocabulary writes bytes as characters: visible ones of Latin-1 as themselves, the others from U+0100 on.
 _OWN = [b for b in range(256) if 0x21 <= b <= 0x7E or b >= 0xA1 and b != 0xAD]
 _CHARS = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
 BYTES = {c: "".join(_CHARS[b] for b in chr(c).encode()) for c in range(256)}
+SPACES = frozenset(chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 
 
 class Table:
@@ -47,7 +50,7 @@ class Table:
         self.f, self.c = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.f[symbols] = self.freqs
         self.c[symbols] = np.cumsum(self.freqs) - self.freqs
-        self.slots: tuple[np.ndarray, ...] | None = None
+        self.slots: np.ndarray | None = None
 
     @classmethod
     def of_counts(cls, symbols: np.ndarray, counts: np.ndarray, bits: int = 20) -> "Table":
@@ -70,10 +73,10 @@ class Table:
                     over -= take
         return cls(symbols, freqs, bits)
 
-    def decoder(self) -> tuple[np.ndarray, ...]:
+    def decoder(self) -> np.ndarray:
+        """The symbol of each slot; frequencies and starts are looked up by symbol, in tables that caches hold."""
         if self.slots is None:
-            sym = np.repeat(self.symbols, self.freqs.astype(np.int64))
-            self.slots = sym, self.f[sym], np.arange(len(sym), dtype=np.uint64) - self.c[sym]
+            self.slots = np.repeat(self.symbols, self.freqs.astype(np.int64))
         return self.slots
 
 
@@ -120,13 +123,14 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
     begin = first * every
     if begin >= until:
         return np.zeros(0, np.uint32)
-    sym, freq, bias = table.decoder()
+    sym, freq, start = table.decoder(), table.f, table.c
     mask = (np.uint64(1) << table.bits) - np.uint64(1)
     x, at, out = states[first].copy(), int(starts[first]), np.empty((until - begin, lanes), np.uint32)
     for t in range(until - begin):
-        slot = (x & mask).astype(np.int64)
-        out[t] = sym[slot]
-        x = freq[slot] * (x >> table.bits) + bias[slot]
+        slot = x & mask
+        s = sym[slot]
+        out[t] = s
+        x = freq[s] * (x >> table.bits) + (slot - start[s])
         under = x < LOW
         k = int(np.count_nonzero(under))
         if k:
@@ -135,53 +139,152 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
     return out.reshape(-1)[: max(0, n - begin * lanes)]
 
 
-class Encoder(Memo):
-    """Ids of a chunk of text by the tokenizers library, as little-endian integers of `width`.
+class Encoder:
+    """Ids of whole texts by the tokenizers library, as little-endian integers of `width`.
 
-    A text is taken in chunks between cuts that the library's own splitting never crosses. A plain word, with
-    symbols after it or not, is one or two of the pieces the library would split it into; its word goes to
-    the library's model at once, in the characters that stand for bytes there. All else takes the whole way.
+    A text is cut before each single space in front of a visible character, where the library's own splitting
+    cuts too. Arrow numbers the distinct pieces of many texts, each piece's ids are worked out or remembered
+    once, and numpy puts the texts' ids together. A piece that is a word of Latin letters, with ASCII symbols
+    behind it or not, is two pieces of the library's: its word goes to the library's model at once, in the
+    characters that stand for bytes there. Texts with other runs of white space are cut by CHUNKS, and those
+    that hold an added token (which the library takes out before it splits) go to it as they are.
     """
 
     def __init__(self, path: str, memo: int):
         from tokenizers import Tokenizer
 
-        super().__init__(self._chunk, memo)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.tails = Memo(lambda c: self.library.encode(c, add_special_tokens=False).ids, 10_000)
+        self.code = {2: "H", 4: "I"}[self.width.itemsize]
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.known: dict[str, bytes | None] = {}  # ids of " " and the key; None where that isn't a piece by itself
+        self.before: dict[str, bytes | None] = {}  # what was known the time before, so that frequent pieces outlive a full memory
+        self.limit = max(1, memo // 2)
+        self.tails = Memo(self._whole, 10_000)
+        self.other = Memo(self._bare, 10_000)
 
     def blob(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, CHUNKS.findall(text or "")))
-
-    def _chunk(self, chunk: str) -> bytes:
+        ids, _ = self.ids(pa.array([text], pa.string()))
+        return ids.tobytes()
+
+    def ids(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (and the last one's end). end_id goes behind each."""
+        if len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        texts = pc.fill_null(texts, "")
+        pieces = pc.split_pattern(texts, " ")
+        ends = pieces.offsets.to_numpy()
+        heads, ends = ends[:-1] - ends[0], ends[1:] - ends[0]
+        flat = pieces.flatten().dictionary_encode()
+        at = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        inner = np.ones(len(at), bool)
+        inner[heads] = False
+        used = np.zeros(len(flat.dictionary), bool)
+        used[at[inner]] = True
+        known, table = self.known, []
+        for p, u in zip(flat.dictionary.to_numpy(zero_copy_only=False).tolist(), used.tolist(), strict=True):
+            if not u:
+                table.append(b"")
+            elif p in known:
+                table.append(known[p])
+            else:
+                known[p] = ids = self._piece(p)
+                table.append(ids)
+        odd = np.array([x is None for x in table], bool)
+        alone = np.zeros(len(texts), bool)  # texts that aren't put together from pieces
+        if odd.any():
+            alone[np.searchsorted(ends, np.flatnonzero(odd[at] & inner), "right")] = True
+            table = [x or b"" for x in table]
+        special = np.zeros(len(texts), bool)
+        for a in self.added:
+            special |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # a text's first piece has no space before it: it has a place of its own in the table, as the whole of some texts has
+        at[heads] = len(table) + np.arange(len(texts))
+        for i, (head, whole, lib) in enumerate(zip(pc.list_element(pieces, 0).to_numpy(zero_copy_only=False).tolist(), alone.tolist(), special.tolist(), strict=True)):
+            table.append(self._whole(texts[i].as_py()) if lib else self._chunks(texts[i].as_py() if whole else head))
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.width.itemsize
+        first = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(table), self.width)
+        n = size[at]
+        if (alone | special).any():
+            n[inner & np.repeat(alone | special, ends - heads)] = 0
+        if end_id is not None:
+            first, pool = np.append(first, len(pool)), np.append(pool, np.array([end_id], self.width))
+            at, n = np.insert(at, ends, len(first) - 1), np.insert(n, ends, 1)
+            ends = ends + np.arange(1, len(texts) + 1)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(first[at] - upto[:-1], n)
+        where += np.arange(len(where))
+        return pool[where], upto[np.concatenate([[0], ends])]
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunks(self, text: str) -> bytes:
+        out = []
+        for c in CHUNKS.findall(text):
+            if c[0] == " " and len(c) > 1 and c[1] not in SPACES:
+                ids = self.known.get(c[1:])
+                if ids is None:
+                    ids = self.known[c[1:]] = self._piece(c[1:])
+            else:
+                ids = self.other[c]
+            out.append(ids)
+        return b"".join(out)
+
+    def _piece(self, piece: str) -> bytes | None:
+        if piece.isascii() and piece.isalpha():
+            return self.before.get(piece) or self._word(f"\u0120{piece}")
+        if not piece or piece[0] in SPACES:
+            return None
+        if piece in self.before:
+            return self.before[piece]
+        word = PLAIN.match(piece)
+        if not word:
+            return self._whole(f" {piece}") if SPACES.isdisjoint(piece) else self._chunks(f" {piece}")
+        stem, tail = word.groups()
+        ids = self.known.get(stem) or self.before.get(stem)
+        if ids is None:
+            ids = self.known[stem] = self._word(f" {stem}".translate(BYTES))
+        return ids + self.tails[tail] if tail else ids
+
+    def _bare(self, chunk: str) -> bytes:
+        """Ids of a chunk without a space before it."""
         word = PLAIN.match(chunk)
-        if word:
-            ids = [t.id for t in self.model.tokenize(word[1].translate(BYTES))]
-            if word[2]:
-                ids += self.tails[word[2]]
-        else:
-            ids = self.library.encode(chunk, add_special_tokens=False).ids
-        return np.array(ids, self.width).tobytes()
+        if not word:
+            return self._whole(chunk)
+        ids = self._word(word[1].translate(BYTES))
+        return ids + self.tails[word[2]] if word[2] else ids
+
+    def _word(self, chars: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(chars)]).tobytes()
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", memo: int = 1_000_000) -> DataFrame:
-    """(id, n_tokens, width, ids as little-endian integers of 2 or 4 bytes) by the tokenizers library, end_id last."""
+    """(id, n_tokens, width, ids as little-endian integers of 2 or 4 bytes) by the tokenizers library, end_id last.
 
-    def setup():
+    Null and empty texts have end_id alone. Other columns are left out; repeated and null ids stay rows of their own.
+    """
+    from tidemark.llm.common import _arrow
+
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, width int, ids binary"
+    out = pa.schema(_arrow(docs.sparkSession, schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _loaded:
             _loaded.clear()
             _loaded[path] = Encoder(path, memo)
-        return _loaded[path]
-
-    def rows(encoder, ids, texts):
-        size, end = encoder.width.itemsize, np.array([end_id], encoder.width).tobytes()
-        blobs = [encoder.blob(x) + end for x in texts]
-        return [(i, len(b) // size, size, b) for i, b in zip(ids, blobs, strict=True)]
+        encoder = _loaded[path]
+        size = encoder.width.itemsize
+        for batch in batches:
+            for part in slices(batch, 8 << 20):
+                ids, starts = encoder.ids(part.column(1).cast(pa.string()), end_id)
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(np.ascontiguousarray(starts * size, np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                cols = [part.column(0), pa.array(np.diff(starts)), pa.array(np.full(len(starts) - 1, size, np.int32)), blobs]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return map_rows(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, width int, ids binary", rows, setup)
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 _loaded: dict[str, Encoder] = {}
@@ -193,10 +296,13 @@ def count_symbols(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(np.frombuffer(blob.as_buffer(), f"<u{width}"), minlength=len(total))
-                got[: len(total)] += total
-                total = got
+            for part in slices(batch, 8 << 20):
+                blobs, widths = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for width in set(widths):
+                    ids = np.frombuffer(b"".join([x for x, w in zip(blobs, widths, strict=True) if w == width]), f"<u{width}")
+                    got = np.bincount(ids, minlength=len(total))
+                    got[: len(total)] += total
+                    total = got
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["symbol", "n"])
 
