@@ -71,8 +71,7 @@ def test_rans_files_equal_tokenizers(spark):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = odd_texts(60) + [r["text"] for r in real(spark).limit(40).collect()]
+    texts = ["<|endoftext|>x", "a  <|endoftext|>", "x <|endoftext|> y\n <|endoftext|>\n b", "<|endoftext|", " a\n b \nc  d", "\n\n x"] + odd_texts(60) + [r["text"] for r in real(spark).limit(40).collect()]
     rows = sorted(rans.written_and_read(docs_of(spark, texts), path, with_ids=True).collect(), key=lambda r: r["doc_id"])
     start = 0
     for r, x in zip(rows, texts, strict=True):
