@@ -42,6 +42,9 @@ class Scratch:
         self.paths.append((out, path))
         return out
 
+    def of(self, name: str) -> list[DataFrame]:
+        return [df for df, path in self.paths if path.rpartition("/")[2].startswith(f"{name}-")]
+
     def clear(self, *keep: DataFrame) -> None:
         """Only for tables that nothing reads any more: what was made of them must itself be written."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

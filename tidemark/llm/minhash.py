@@ -8,9 +8,11 @@ buckets of candidates.
 
 Links are sought without all pairs of a group: in a few rounds every class is held against two centres
 of other components that share a band with it, links are confirmed on the full sets, and components
-found. Then only members of different components in one band are compared, by their sketches in blocks,
-and what the collision-corrected estimate can't rule out is confirmed again: at first the nearest of
-each, then all that is left.
+found. What is left are members of different components in one band. They are dealt into cells of bounded
+size, and in each cell the sketches are compared first: those that have a partner which the
+collision-corrected estimate can't rule out get their full sets sent to the cell. There the pairs are
+confirmed, the likeliest first and none whose ends are joined already, so a cell yields fewer links than it
+has members, and no pair that isn't a link ever leaves it. A pair is looked at in the first band it shares only.
 """
 
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import Scratch, slices
 from tidemark.llm.graph import components
 
 M_BITS, MANTISSA = 7, 10
@@ -32,9 +34,10 @@ BANDS = M // ROWS
 CHANCE = 0.169919487159739 * M / 2**MANTISSA
 #: Standard errors below the threshold at which an estimate rules a pair out.
 ERRORS = 4.5
-BLOCK = 4096
+#: Members, and shingles of all their sets, in a block of a band; a cell holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
 #: Rounds of centres before members are compared with each other.
-ROUNDS = 3
+ROUNDS = 2
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,9 +133,8 @@ def sketches(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(band, sid): the bands in which each class stands, those of one class alone left out."""
-    rows = _arrays(reps, "band long, sid binary", lambda sid, regs: [(b, sid) for b in bands(np.frombuffer(regs, np.uint16))], ["sid", "regs"])
-    return rows
+    """(band, sid, n): the bands in which each class stands, those of one class alone left out."""
+    return _arrays(reps, "band long, sid binary, n long", lambda sid, regs, n: [(b, sid, n) for b in bands(np.frombuffer(regs, np.uint16))], ["sid", "regs", "n"])
 
 
 def _filter_of(ids: DataFrame, col: str, bits: int) -> np.ndarray:
@@ -228,54 +230,129 @@ def stars(banded: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct().select("a", "b")
 
 
-def across(banded: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """Distinct pairs (a, b) of one band and different components that the estimate doesn't rule out.
+def cells(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, cell, k, i, sid, label, n) of the bands that hold several components, dealt out by pairs of k blocks; i is the member's."""
+    t = banded.join(labels, F.col("sid") == F.col("v"), "left").select("band", "sid", "n", F.coalesce("label", "sid").alias("label"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    mixed = t.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(size).cast("long").alias("k")).where("lo <> hi")
+    t = t.join(mixed.select("band", "k"), "band").withColumn("i", F.pmod(F.xxhash64("sid"), F.col("k")))
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least("i", j) * F.col("k") + F.greatest("i", j)))
+    return t.withColumn("cell", cell).select("band", "cell", "k", "i", "sid", "label", "n")
 
-    Bands over BLOCK members are dealt out by pairs of blocks. With `nearest`, each member gives its
-    that many closest partners in each block.
-    """
-    low = least_estimate(percent / 100)
-    t = banded.join(labels, F.col("sid") == F.col("v"), "left").select("band", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = t.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi")
-    t = t.join(mixed.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("k")), "band")
-    t = t.withColumn("i", F.pmod(F.xxhash64("sid"), F.col("k")).cast("int"))
-    t = t.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least("i", j) * F.col("k") + F.greatest("i", j))))
-    t = t.join(reps.select("sid", "regs", "n"), "sid").select("band", "cell", "k", "i", "sid", "label", "regs", "n")
-    t = t.repartition("band", "cell").sortWithinPartitions("band", "cell")
-
-    def pairs_of(group: list[tuple]) -> list[tuple]:
-        k, cell = group[0][2], group[0][1]
-        regs = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(-1, M)
-        _, label = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)
-        n, i = np.array([g[7] for g in group]), np.array([g[3] for g in group])
-        sids, out = [g[4] for g in group], set()
-        cross = cell // k != cell % k
-        for x in range(len(group)):
-            y = np.flatnonzero((label != label[x]) & (np.arange(len(group)) > x if not cross else i > i[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            if not len(y):
-                continue
-            e = estimate((regs[y] == regs[x]).sum(axis=1))
-            ok = np.flatnonzero(e >= low)
-            if nearest is not None and len(ok) > nearest:
-                ok = ok[np.argsort(-e[ok], kind="stable")[:nearest]]
-            out.update((min(sids[x], sids[z]), max(sids[x], sids[z])) for z in y[ok])
-        return list(out)
+
+CELL = "band long, cell long, k long, i long, sid binary, label binary, n long"
+
+
+def _in_cells(df: DataFrame, schema: str, per_cell) -> DataFrame:
+    """mapInArrow over whole cells; df's columns begin with those of CELL; per_cell(rows) gives rows of `schema`."""
+    from tidemark.llm.common import _arrow
+
+    out = pa.schema(_arrow(df.sparkSession, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and group[0][:2] != row[:2]:
-                    found += pairs_of(group)
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
-        if group:
-            found = pairs_of(group)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], names=["a", "b"])
-
-    return t.mapInArrow(run, "a binary, b binary").distinct()
+            for part in slices(batch, 8 << 20):
+                found = []
+                for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    if group and group[0][:2] != row[:2]:
+                        found += per_cell(group)
+                        group = []
+                    group.append(row)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
+        if group and (found := per_cell(group)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
+
+    return df.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(run, schema)
+
+
+def _possible(group: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, places of the partners after it, estimates): pairs of the cell that the estimate doesn't rule out and no earlier band has."""
+    band, cell, k = group[0][:3]
+    regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, M)
+    _, label = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)
+    n, block = np.array([g[6] for g in group]), np.array([g[3] for g in group])
+    place, low, cross = bands(regs[0]).index(band), least_estimate(percent / 100), cell // k != cell % k
+    for x in range(len(group)):
+        y = np.arange(x + 1, len(group))
+        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        if cross:
+            y = y[block[y] != block[x]]
+        if not len(y):
+            continue
+        same = regs[y] == regs[x]
+        e = estimate(same.sum(axis=1))
+        ok = np.flatnonzero(e >= low)
+        ok = ok[same[ok][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == place]
+        if len(ok):
+            yield x, y[ok], e[ok]
+
+
+def suspects(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of cells() that have a possible partner in their cell."""
+
+    def per_cell(group: list[tuple]) -> list[tuple]:
+        some = np.zeros(len(group), bool)
+        for x, y, _ in _possible(group, percent):
+            some[x] = some[y] = True
+        return [group[i][:7] for i in np.flatnonzero(some)]
+
+    return _in_cells(members.join(reps.select("sid", "regs"), "sid").select("band", "cell", "k", "i", "sid", "label", "n", "regs"), CELL, per_cell)
+
+
+def settled(found: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): confirmed links that join the components of each cell, as many as that takes."""
+
+    def per_cell(group: list[tuple]) -> list[tuple]:
+        pairs = list(_possible(group, percent))
+        if not pairs:
+            return []
+        left = np.repeat([x for x, _, _ in pairs], [len(y) for _, y, _ in pairs])
+        right, likely_ = np.concatenate([y for _, y, _ in pairs]), np.concatenate([e for _, _, e in pairs])
+        order = np.argsort(-likely_, kind="stable")
+        left, right = left[order], right[order]
+        own = [np.frombuffer(g[8], np.uint64) for g in group]
+        _, part = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)
+        both, out = _meeting(own, len(left)), []
+        for at in range(0, len(left), 1024):
+            x, y = left[at : at + 1024], right[at : at + 1024]
+            apart = part[x] != part[y]
+            x, y = x[apart], y[apart]
+            for i, j, shared in zip(x.tolist(), y.tolist(), both(x, y), strict=True):
+                if part[i] != part[j] and 100 * shared >= percent * (len(own[i]) + len(own[j]) - shared):
+                    part[part == part[j]] = part[i]
+                    out.append((min(group[i][4], group[j][4]), max(group[i][4], group[j][4])))
+        return out
+
+    full = found.join(reps.select("sid", "regs"), "sid").join(sets, "sid")
+    return _in_cells(full.select("band", "cell", "k", "i", "sid", "label", "n", "regs", "shingles"), "a binary, b binary", per_cell)
+
+
+def _meeting(own: list[np.ndarray], pairs: int, most_bytes: int = 64 << 20):
+    """A function of places (x, y) that gives the sizes of the sets' intersections: by bits if there are many pairs, else by search."""
+    if pairs > 8 * len(own):
+        shared, of = np.unique(np.concatenate(own), return_inverse=True)
+        often = np.bincount(of) > 1
+        number = np.cumsum(often) - 1
+        width = -(-int(often.sum()) // 64)
+        if len(own) * width * 8 <= most_bytes and width:
+            bits, at = np.zeros((len(own), width * 64 // 8), np.uint8), 0
+            for i, s in enumerate(own):
+                mine = of[at : at + len(s)]
+                row = np.zeros(width * 64, bool)
+                row[number[mine[often[mine]]]] = True
+                bits[i], at = np.packbits(row), at + len(s)
+            bits = bits.view(np.uint64)
+            step = max(1, (8 << 20) // (8 * width))
+            return lambda x, y: [int(c) for k in range(0, len(x), step) for c in np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1, dtype=np.int64)]
+
+    def search(x, y):
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            a, b = (own[i], own[j]) if len(own[i]) <= len(own[j]) else (own[j], own[i])
+            yield int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+
+    return search
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,36 +360,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
 
     component_id is the smallest id reachable over links, kept tells id = component_id. Rows without
     words have an empty set and are linked with nothing. Rows with a null id are never a component's
-    name: one that reaches no other id has a null component and is kept. Equal rows get equal results.
+    name: one that reaches no other id has a null component and is kept. Equal rows get equal results; other
+    columns are left out, whatever their names; an empty table gives an empty one; texts are taken whole.
     """
-    sk = written(sketches(docs, size, id_col, text_col), "sketches")
-    reps = written(sk.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias("rid"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
+    scratch = Scratch(docs.sparkSession)
+    sk = scratch.write(sketches(docs, size, id_col, text_col), "sketches")
+    reps = scratch.write(sk.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias("rid"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
     # a set of up to `low` shingles has no different partner: one that differs in one shingle is already too far
     low = percent // (100 - percent)
-    rows = written(band_rows(reps.where(F.col("n") >= low).where(F.col("rid").isNotNull())), "bands")
+    rows = scratch.write(band_rows(reps.where(F.col("n") >= low).where(F.col("rid").isNotNull())), "bands")
     ends = rows.groupBy("band").agg(F.min("sid").alias("c1"), F.max("sid").alias("c2")).where("c1 <> c2")
-    banded = written(rows.join(ends.select("band"), "band", "left_semi"), "banded")
+    banded = scratch.write(rows.join(ends.select("band"), "band", "left_semi"), "banded")
+    known = reps.limit(0).select(F.col("sid").alias("v"), F.col("sid").alias("label"))
     links: DataFrame | None = None
-    labels = None
-    for turn in range(ROUNDS + 2):
-        known = labels if labels is not None else reps.limit(0).select(F.col("sid").alias("v"), F.col("sid").alias("label"))
+    for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
-            pairs = written(likely(stars(banded, known, turn), reps, percent), "pairs")
+            found = scratch.write(likely(stars(banded, known, turn), reps, percent), "pairs")
+            sids = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct()
         else:
-            pairs = written(across(banded, known, reps, percent, 1 if turn == ROUNDS else None), "pairs")
-        if not pairs.limit(1).count():
+            found = scratch.write(suspects(cells(banded, known), reps, percent), "suspects")
+            sids = found.select("sid").distinct()
+        if found.isEmpty():
             continue
-        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps.select("sid", "rid"), "sid")
-        sets = written(full_sets(docs, wanted, size, id_col, text_col), "sets")
-        new = written(confirm(pairs, sets, percent), "links")
-        links = new if links is None else written(links.unionByName(new), "links")
-        if new.limit(1).count():
-            labels = written(components(links), "components")
+        sets = scratch.write(full_sets(docs, sids.join(reps.select("sid", "rid"), "sid"), size, id_col, text_col), "sets")
+        new = confirm(found, sets, percent) if turn < ROUNDS else settled(found, reps, sets, percent).distinct()
+        new = scratch.write(new, "links")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            known = components(links, scratch)
+        scratch.clear(sk, reps, banded, known, *scratch.of("links"))
     # a class's component by its label, named by the smallest id in it
-    named = reps.select("sid", "rid") if labels is None else reps.select("sid", "rid").join(labels, F.col("sid") == F.col("v"), "left")
-    named = named.withColumn("label", F.col("sid")) if labels is None else named.select("sid", "rid", F.coalesce("label", "sid").alias("label"))
+    named = reps.select("sid", "rid").join(known, F.col("sid") == F.col("v"), "left").select("sid", "rid", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("rid").alias("component_id"))
-    of = named.join(least, "label").select("sid", "component_id")
-    out = sk.select(id_col, "n_shingles", "sid").join(of, "sid", "left")
-    component = F.when(F.col("sid").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", component.alias("component_id"), F.coalesce(F.col(id_col) == component, component.isNull()).alias("kept"))
+    of = scratch.write(named.join(least, "label").select("sid", "component_id"), "named")
+    scratch.clear(sk, of)
+    linked = sk.where("sid is not null").join(of, "sid").select(id_col, "n_shingles", "component_id")
+    # rows without words pass by the join, or all of them would meet on a null key
+    out = linked.unionByName(sk.where("sid is null").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
