@@ -202,3 +202,35 @@ def test_pipeline(spark):
     assert last.count() == n and {"doc_id", "ids", "n_tokens"} <= set(last.columns)
     items = [" ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     assert not any(i in " ".join((r["text"] or "").lower().split()) for r in docs.collect() for i in items)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_by_cells(spark, monkeypatch, rounds):
+    """Many texts about the threshold in shared bands, dealt into small cells: components equal those of all exact links."""
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for k in range(140):
+        mine = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            mine[r.randrange(150)] = f"x{r.randrange(9999)}"
+        texts.append(" ".join(mine))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{t.split()[i : i + 5].__str__() for i in range(146)} for t in texts]
+    links = {i: {j for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)} for i, a in enumerate(sets)}
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min(least[j] for j in links[i]) for i in range(len(texts))]
+    assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, 80).collect()} == dict(enumerate(least))
+    assert 1 < len(set(least)) < 140
+
+
+def test_meeting_by_bits_and_by_search():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    own = [np.unique(r.integers(0, 300, 120)).astype(np.uint64) for _ in range(9)]
+    x, y = (a.ravel() for a in np.triu_indices(9, 1))
+    want = [len(np.intersect1d(own[i], own[j])) for i, j in zip(x, y)]
+    assert list(minhash._meeting(own, 1)(x, y)) == list(minhash._meeting(own, 100)(x, y)) == want
