@@ -2,8 +2,8 @@
 
 Markup is stripped to blocks (lines): one for each paragraph, heading, list item and so on, with empty
 lines where a container begins or ends. Subtrees that aren't the article's text by their element, role
-or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments) leave an empty
-line. The lengths of the lines, without linked text, are summed over a sliding window; the text begins
+or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments; a class counts only
+if all its words name such things or layout) leave an empty line. The lengths of the lines, without linked text, are summed over a sliding window; the text begins
 where the sum first surges over the threshold and ends where it dives to nothing for the last time, and all
 lines between are kept, short ones and those in containers of their own too; lists of links behind it go. Where lines surge inside <article> or <main> elements alone, and those hold most of
 the page's unlinked text, they bound it: the text reaches from the first line of them to the last.
@@ -18,13 +18,17 @@ from tidemark.llm.common import map_rows
 
 WINDOW, SURGE, LINKS = 3, 80, 0.5
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|head|title|select|button|object|canvas|math)\b.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?](?:[^>"']|"[^"<>]*"|'[^'<>]*')*>|<[a-zA-Z/!?][^>]*>""", re.S | re.I)
+TAG = re.compile(r"""<!--|<[a-zA-Z/!?](?:[^>"']|"[^"<>]*"|'[^'<>]*')*>|<[a-zA-Z/!?][^>]*>""", re.S)
+BEGUN = re.compile(r"<[a-zA-Z/!?]")
+CLOSE = re.compile(r"</([a-zA-Z][a-zA-Z0-9-]*)")
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s>/=])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORDS = re.compile(r"[^a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold no text of the page; the first two run to the end of the page if they aren't closed, the others are no elements then.
+RAW = frozenset("script style noscript template textarea svg iframe title select button object canvas math".split())
 DROP = frozenset("nav footer aside form dialog menu fieldset".split())
 CONTAINERS = frozenset("article main section div body table ul ol dl header details blockquote figure".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre hr address caption figcaption summary center".split())
@@ -45,6 +49,19 @@ AROUND = frozenset(
     alert comment comments disqus reply replies respond promo promotion share sharing social related recommended footer popup modal newsletter subscribe
     subscription breadcrumb breadcrumbs widget sponsor sponsored login signup search toolbar masthead copyright legal pagination pager complementary contentinfo dialog""".split()
 )
+#: Words in a class, id or role that tell where or how something stands, but not what it is.
+LAYOUT = frozenset(
+    """area bar block body bottom box button buttons center col column container content entry fixed float footer header inner item items left links list main module
+    outer page panel post posts primary right row secondary section site sticky text title top unit wrap wrapper article articles policy form link reader user""".split()
+)
+
+SITE = frozenset(("header", "site", "page", "top", "main", "global", ""))
+
+
+def _around(name: str) -> bool:
+    """Whether one class, id or role names boilerplate, and nothing else beside its layout."""
+    words = [w for w in WORDS.split(name.lower()) if w]
+    return any(w in AROUND for w in words) and all(w in AROUND or w in LAYOUT or len(w) == 1 for w in words)
 
 
 def _dropped(name: str, tag: str, inside: bool) -> bool:
@@ -57,8 +74,7 @@ def _dropped(name: str, tag: str, inside: bool) -> bool:
     if name in ("body", "html", "main", "article") and "comment" not in tag.lower():
         return False
     for _, a, b, c in MARKS.findall(tag):
-        words = set(WORDS.split((a or b or c).lower()))
-        if words & AROUND or "header" in words and not inside:
+        if any(_around(x) or not inside and "header" in (words := set(WORDS.split(x.lower()))) and words <= SITE for x in (a or b or c).split()):
             return True
     return False
 
@@ -122,27 +138,44 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     opened, skip, base = _Open(), "", -1
     at = 0
 
+    last = {m.group(1).lower(): m.start() for m in CLOSE.finditer(page)}  # the last end tag of each name
+    until = page.rfind(">") + 1  # no tag ends after it
+
     def close(gap: bool) -> None:
         nonlocal parts, linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append((text, linked, main > 0))
         if gap and out and out[-1][0]:
             out.append(("", 0, main > 0))
         parts, linked = [], 0
 
-    for m in TAG.finditer(page):
-        if base < 0 and m.start() > at:
-            parts.append(page[at : m.start()])
-            linked += in_link and m.start() - at
+    def add(text: str) -> None:
+        nonlocal linked
+        if base < 0 and text:
+            parts.append(html.unescape(text))
+            linked += len(parts[-1]) if in_link else 0
+
+    while m := TAG.search(page, at, until):
+        add(page[at : m.start()])
         at = m.end()
         tag = m.group()
-        if tag.startswith("<!") or m.group(1):
+        if tag == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if tag.startswith("<!"):
             continue
         named = NAME.match(tag)
         if not named:
             continue
         name, end = named.group(1).lower(), tag[1] == "/"
+        if name in RAW and not end:
+            if last.get(name, -1) >= at:
+                at = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at).end()
+            elif name in ("script", "style"):
+                at = len(page)
+            continue
         alone = name in VOID or tag.endswith("/>")
         if end:
             opened.end(name, base)
@@ -156,20 +189,20 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             opened.push(name)
         if base >= 0:
             continue
-        if not end and not alone and _dropped(name, tag, main > 0) and (name in OMITTED or re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)):
+        if not end and not alone and _dropped(name, tag, main > 0) and (name in OMITTED or last.get(name, -1) >= at):
             close(True)
             skip, base = name, len(opened.names) - 1
             continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            in_link = max(0, in_link + (-1 if end else 1))
+            in_link = 0 if end else 1  # links don't nest
         elif name in BLOCKS:
             close(name in CONTAINERS)
             if name in ("article", "main"):
                 main = max(0, main + (-1 if end else 1))
-    if base < 0:
-        parts.append(page[at:])
+    rest = BEGUN.search(page, max(at, until))
+    add(page[at : rest.start() if rest else None])
     close(False)
     return out
 
@@ -217,6 +250,10 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page, from the whole html. A null page is empty; ids may repeat."""
+    """(id, url, text, n_chars) of every page, from the whole html, in time linear in its length.
+
+    A null or empty page, or one without text, has an empty text. Ids may repeat or be null; other columns are left out,
+    whatever their names; an empty table gives an empty one.
+    """
     schema = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col)) + ", text string, n_chars long"
     return map_rows(pages.select(id_col, url_col, html_col), schema, lambda _, ids, urls, pages_: [(i, u, t, len(t)) for i, u, x in zip(ids, urls, pages_, strict=True) for t in [extract(x)]])
