@@ -297,3 +297,49 @@ def test_rans_encoder_equals_library():
     texts += [f"a{chr(c)}{m}b{chr(c)}" for c in range(1, 700) for m in ("", "é", ".")] + [None, "", "<|endoftext|>x", "don't.'s we'll'd", "a'" * 50]
     for t in texts:
         assert encoder.blob(t) == np.array(encoder.library.encode(t or "", add_special_tokens=False).ids, encoder.width).tobytes(), t
+
+
+def test_html_of_odd_pages_in_linear_time():
+    import time
+
+    long = ("word " * 40).strip()
+    cases = {
+        f"<html><head><title>T</title><body><article><p>{long}</article>": long,
+        f"<body><select><p>{long}": long,
+        f"<body><button>x<p>{long}": f"x\n\n{long}",
+        f"<body><select><option>x</select><p>{long}<script>if (a<b) '</p>'": long,
+        f"<p>{long} &l<b></b>t; &lt;</p>": f"{long} &lt; <",
+        f"<div class=post><p>{long}</p><div class='legal-history'>The law of 1900.</div><div class='ad-banner top'>Buy</div></div>": f"{long}\n\nThe law of 1900.",
+        f"<p>{long}</p><div id=reader-comments><p>{long}</p></div><!-- x": long,
+        f"<p>{long}</p><p>end <b": f"{long}\n\nend",
+    }
+    for page, want in cases.items():
+        assert html.extract(page) == want, page
+    begun = time.time()
+    for page in ("<a" * 2_500_000, "<svg>" * 300_000, "<div class=ad>" * 100_000 + "</div>", '<a "' * 500_000 + ">", "<!--" * 500_000, "&" * 2_000_000, "<select>" * 200_000 + "</select>", "<p class=ad>" * 100_000):
+        html.extract(page)
+    assert time.time() - begun < 60
+
+
+def test_html_without_article_elements(spark):
+    """The given pages with their article elements' names taken away: line blocks alone find the same text."""
+    for r in real(spark, "pages").collect():
+        assert html.extract(re.sub("</?article>", "", r["html"])) == html.extract(r["html"]) != ""
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    odd = spark.createDataFrame([(None, "u", "<p>x</p>", 3, "t"), (1, None, "<p>x</p>", 4, "t")], "page_id long, url string, html string, n_chars long, text string")
+    assert sorted((x["page_id"] or 0, x["text"], x["n_chars"]) for x in html.main_text(odd).collect()) == [(0, "x", 1), (1, "x", 1)]
+
+
+def test_secrets_of_long_texts(spark):
+    import time
+
+    texts = [" ".join(f"{i:016x}" for i in range(100_000)), "token=abcdefghijkl " * 30_000, "x" * 3_000_000, None, "token=abcdefghij0123456789XYZ " * 30_000, "Kk9_Kk9_Kk9_Kk9_Kk9_ 0123456789abcdef0 /token=Kk9_Kk9_Kk9_Kk9_Kk9_ Zz1_Zz1_Zz1_Zz1_Zz1_"]
+    docs = spark.createDataFrame([(i, t, None, None, "z") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, owner string")
+    begun = time.time()
+    got = {r["doc_id"]: r for r in secrets.find(docs).collect()}
+    assert time.time() - begun < 100
+    assert got[0]["base_sha256"] == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000)).encode()).hexdigest()
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(f"assign:{19 * i}:{19 * i + 18}" for i in range(30_000)).encode()).hexdigest()
+    assert got[4]["spans"].count(",") == 29_999 and got[5]["spans"] == "mixed:0:20,hex:21:38,assign:40:66,mixed:67:87"
+    assert got[1]["n_assign"] == 30_000 and got[2]["spans"] == got[3]["spans"] == "" and got[0]["n_hex"] == 100_000
+    assert secrets.find(docs.limit(0)).count() == 0
