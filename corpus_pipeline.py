@@ -22,23 +22,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, short=True).select(*docs.columns)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a key of each row in the order of their ids (nulls last) and texts, written: ids may repeat or be null."""
-    order = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "_at")
-    return written(order.select(*docs.columns, F.monotonically_increasing_id().alias("_row")), "rows")
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    rows = _keyed(docs)
-    kept = written(minhash.near_duplicates(rows, percent=80, id_col="_row").where("kept").select("_row"), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates, that with the smallest id. Rows have keys in the order of their ids
+    (nulls last) and texts, as ids may repeat or be null."""
+    all_ = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at"))
+    order = all_.orderBy(F.asc_nulls_last("doc.doc_id"), F.xxhash64("doc.text"), "at")
+    rows = written(order.select("doc", F.monotonically_increasing_id().alias("row")), "rows")
+    kept = written(minhash.near_duplicates(rows.select("row", "doc.text"), percent=80, id_col="row").where("kept").select("row"), "kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ids may repeat or be null
-    return decontaminate.clean(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row").select(*docs.columns)
+    """Documents that hold no passage of the benchmark. Rows have keys, as ids may repeat or be null."""
+    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = decontaminate.contaminated(rows.select("row", "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
+    return rows.join(written(found.select("row").distinct(), "contaminated"), "row", "left_anti").select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

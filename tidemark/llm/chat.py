@@ -14,7 +14,7 @@ PIECE = 1024
 
 def _turn_hash(place: Column, role: Column, text: Column, seed: int) -> Column:
     """A hash of 50 bits as a decimal, so a sum over any number of turns is exact."""
-    parts = [place, F.coalesce(role, F.lit("\x00null")), F.coalesce(text, F.lit("\x00null")), F.lit(seed)]
+    parts = [F.lit(seed), place, F.coalesce(role, F.lit("\x00null")), F.coalesce(text, F.lit("\x00null"))]  # the seed first: what follows goes on from it
     return F.shiftrightunsigned(F.xxhash64(*parts), 14).cast("decimal(38,0)")
 
 
@@ -24,7 +24,7 @@ def prefixes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     The place of a turn is its rank; turns with equal numbers are ordered by role and text. Rows with a
     null id belong to no conversation and are left out.
     """
-    t = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.xxhash64(F.coalesce(text_col, F.lit("\x00null"))).alias("a"), F.xxhash64(F.coalesce(text_col, F.lit("\x00null")), F.lit(1)).alias("b"))
+    t = turns.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.xxhash64(F.coalesce(text_col, F.lit("\x00null"))).alias("a"), F.xxhash64(F.lit(1), F.coalesce(text_col, F.lit("\x00null"))).alias("b"))
     piece = F.floor(F.coalesce("turn", F.lit(-1)) / PIECE)
     t = t.withColumn("piece", piece)
     inner = Window.partitionBy("id", "piece").orderBy("turn", "role", "a", "b")
@@ -46,7 +46,9 @@ def prefixes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
 def collapse(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(id, n_turns, n_copies) of the conversations that stay: no proper prefix of another, one of equals.
 
-    Copies are grouped before any join, so a conversation that was logged a million times is one row in it.
+    Copies are grouped before any join, so a conversation that was logged a million times is one row in it. A null role or text is
+    told from an empty one; texts and conversations may be of any length; equal turn numbers are ordered by role and text, and a
+    turn that is logged twice counts twice; an empty table gives an empty one; other columns are left out, whatever their names.
     """
     from tidemark.llm.common import written
 

@@ -78,6 +78,14 @@ def hash_filter(scratch: Scratch, ids: DataFrame, col: str) -> Callable[[Column]
     return test
 
 
+def free_prefix(*tables: DataFrame) -> str:
+    """Underscores that no column begins with, for columns of our own beside a caller's."""
+    prefix = "_"
+    while any(c.startswith(prefix) for t in tables for c in t.columns):
+        prefix += "_"
+    return prefix
+
+
 def map_rows(df: DataFrame, schema: str, function: Callable[[list, ...], list[tuple]], setup: Callable[[], object] | None = None, max_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow over column lists in slices of bounded bytes; function(state, *columns) gives rows of `schema`.
 

@@ -197,7 +197,8 @@ def align(item: np.ndarray, text: np.ndarray, edits: int, low: int, high: int) -
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, edits, start, end) for each document and item it holds a passage of; start and end in
     normalised characters (lower case, single spaces). Items under MIN_CHARS match verbatim only, where no word is cut at
-    either end. Null and empty texts and items match nothing.
+    either end. Null and empty texts and items match nothing; texts are searched whole; equal rows get equal results; other columns
+    are left out, whatever their names; an empty table of either kind gives an empty result.
 
     The benchmark is collected in blocks of BLOCK_CHARS, and each block's index is broadcast; the whole
     corpus is scanned once for each block.
@@ -237,8 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without a benchmark passage. Rows with a null id stay only if no null-id row has one."""
-    from tidemark.llm.common import written
+    """The documents without a benchmark passage, with all their columns. Rows with a null id stay only if no null-id row has one."""
+    from tidemark.llm.common import free_prefix, written
 
-    bad = written(contaminated(docs, benchmark, rate, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = f"{free_prefix(docs)}bad"
+    of = written(contaminated(docs, benchmark, rate, id_col, text_col).select(F.col(id_col).alias(bad)).distinct(), "contaminated")
+    return docs.join(of, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")

@@ -139,7 +139,7 @@ def band_rows(reps: DataFrame) -> DataFrame:
 
 def _filter_of(ids: DataFrame, col: str, bits: int) -> np.ndarray:
     """A Bloom filter as an array of 64-bit words, of a fixed size: it is collected and broadcast."""
-    pos = ids.select(F.explode(F.array(F.pmod(F.xxhash64(col), F.lit(bits)), F.pmod(F.xxhash64(col, F.lit(7)), F.lit(bits)))).alias("p"))
+    pos = ids.select(F.explode(F.array(F.pmod(F.xxhash64(col), F.lit(bits)), F.pmod(F.xxhash64(F.lit(7), col), F.lit(bits)))).alias("p"))
     words = pos.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("m")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy()] = words["m"].to_numpy()
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_c
     (2 MB), so it can be broadcast whatever the corpus: a full filter costs shuffle, not rows.
     """
     f = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, "rid", bits))
-    hashed = docs.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"), F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(bits)).alias("q"), F.col(text_col).alias("t"))
+    hashed = docs.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("p"), F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(bits)).alias("q"), F.col(text_col).alias("t"))
 
     def one(p, q, text):
         if f.value[p >> 6] >> (p & 63) & 1 and f.value[q >> 6] >> (q & 63) & 1:

@@ -12,40 +12,45 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import free_prefix
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct column `_q` of the counts of each whole text; a null text has no words.
+    """docs with a struct column `_q` (replaced if there) of the counts of each whole text; a null or empty text has no words.
+
+    Other columns stay, whatever their names. Equal rows get equal results; an empty table gives an empty one.
 
     Repeated word windows are found inside the row: the hashes of the windows are sorted with their
     places, neighbours compared, and the places of repeats united. O(n log n), no shuffle.
     """
+    own = free_prefix(docs)  # what the steps add goes at the end
     text = F.coalesce(F.col(text_col), F.lit(""))
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    w = docs.withColumn("_h", F.transform(F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1)), lambda x: F.xxhash64(x)))
-    w = w.withColumn("_marks", F.regexp_replace(text, r"[^#*$%&|<>!?]+", ""))
-    w = w.withColumn("_n", F.size("_h")).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDS)))
-    rest = lambda k: F.slice("_h", F.lit(k + 1), F.greatest(F.col("_n") - k, F.lit(0)))
-    triples = F.zip_with(F.zip_with("_h", rest(1), lambda a, b: F.xxhash64(a, b)), rest(2), lambda a, b: F.xxhash64(a, b))
-    w = w.withColumn("_g", F.slice(triples, F.lit(1), F.greatest(F.col("_n") - 2, F.lit(0))))
-    placed = F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    w = w.withColumn("_p", F.when(F.size(F.array_distinct("_g")) < F.size("_g"), placed))
+    w = docs.withColumn(f"{own}h", F.transform(F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1)), lambda x: F.xxhash64(x)))
+    w = w.withColumn(f"{own}marks", F.regexp_replace(text, r"[^#*$%&|<>!?]+", ""))
+    w = w.withColumn(f"{own}n", F.size(f"{own}h")).withColumn(f"{own}lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDS)))
+    rest = lambda k: F.slice(f"{own}h", F.lit(k + 1), F.greatest(F.col(f"{own}n") - k, F.lit(0)))
+    triples = F.zip_with(F.zip_with(f"{own}h", rest(1), lambda a, b: F.xxhash64(a, b)), rest(2), lambda a, b: F.xxhash64(a, b))
+    w = w.withColumn(f"{own}g", F.slice(triples, F.lit(1), F.greatest(F.col(f"{own}n") - 2, F.lit(0))))
+    placed = F.sort_array(F.transform(f"{own}g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    w = w.withColumn(f"{own}p", F.when(F.size(F.array_distinct(f"{own}g")) < F.size(f"{own}g"), placed))
     return w.withColumn(
         "_q",
         F.struct(
-            F.col("_n").cast("long").alias("n_words"),
+            F.col(f"{own}n").cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace("_marks", "[!?]+", "")).cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.coalesce(_covered(F.col("_p")), F.lit(0)).cast("long").alias("n_repeat_words"),
-            F.size("_lines").cast("long").alias("n_lines"),
+            F.length(F.regexp_replace(f"{own}marks", "[!?]+", "")).cast("long").alias("n_symbols"),
+            (F.size(f"{own}lines") - F.size(F.array_distinct(f"{own}lines"))).cast("long").alias("n_dup_lines"),
+            F.coalesce(_covered(F.col(f"{own}p")), F.lit(0)).cast("long").alias("n_repeat_words"),
+            F.size(f"{own}lines").cast("long").alias("n_lines"),
             without(r"\p{Lu}+").cast("long").alias("n_upper"),
-            F.size(F.array_distinct("_h")).cast("long").alias("n_distinct_words"),
-            F.length(F.regexp_replace("_marks", "[^!?|]+", "")).cast("long").alias("n_marks"),
+            F.size(F.array_distinct(f"{own}h")).cast("long").alias("n_distinct_words"),
+            F.length(F.regexp_replace(f"{own}marks", "[^!?|]+", "")).cast("long").alias("n_marks"),
             F.regexp_count(text, F.lit(r"(?<=\p{L})[.!?](?:[\x20\x09-\x0D]|\z)")).cast("long").alias("n_ends"),
         ),
-    ).drop("_h", "_marks", "_n", "_lines", "_g", "_p")
+    ).drop(f"{own}h", f"{own}marks", f"{own}n", f"{own}lines", f"{own}g", f"{own}p")
 
 
 def _covered(placed: Column) -> Column:
@@ -148,6 +153,6 @@ def base_failed(q: str = "_q") -> Column:
 
 
 def judge(featured: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """featured with base_failed, quality (posterior of good) and kept."""
+    """featured with base_failed, quality (posterior of good) and kept; columns of these names are replaced, all rows stay."""
     quality = model.posterior(votes(rules))
     return featured.withColumn("base_failed", base_failed()).withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
