@@ -234,3 +234,26 @@ def test_meeting_by_bits_and_by_search():
     x, y = (a.ravel() for a in np.triu_indices(9, 1))
     want = [len(np.intersect1d(own[i], own[j])) for i, j in zip(x, y)]
     assert list(minhash._meeting(own, 1)(x, y)) == list(minhash._meeting(own, 100)(x, y)) == want
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    """Columns of the caller's that are named like those the operators and stages add on the way."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tidemark.llm import decontaminate, quality
+
+    names = "_k _id _key _gone _lines _n _h _p _g _q _bad _row _at _doc row doc at gone k n_dropped lang source".split()
+    long = " ".join(f"w{i}" for i in range(80)) + "."
+    rows = [(1, f"{long}\nsame line here", *"a" * len(names)), (2, "same line here", *"b" * len(names)), (2, "same line here", *"b" * len(names)), (None, None, *"c" * len(names)), (3, "", *"d" * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = lines.dedup(docs, short=True)
+    assert sorted(got.columns) == sorted(docs.columns) and sorted(r["_gone"] for r in got.collect()) == list("abbcd")
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in got.collect() if r["text"] is not None) == [(1, f"{long}\nsame line here", 0), (2, "", 1), (2, "", 1), (3, "", 0)]
+    assert {c: r for c, r in quality.features(docs).where("doc_id = 1").first().asDict().items() if c in names and c != "_q"} == {n: "a" for n in names if n != "_q"}
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    left = decontaminate.clean(docs.where("doc_id is not null"), bench)
+    assert left.columns == docs.columns and sorted(r["_bad"] for r in left.collect()) == list("bbd")
+    d = "/root/testdata/sf0.001"
+    for (_, stage), n in zip(pipeline.STAGES, (1, 5, 4, 5, 5), strict=True):
+        out = stage(spark, docs, d)
+        assert out.count() == n and (out.columns == docs.columns or "ids" in out.columns)
+        assert stage(spark, docs.limit(0), d).count() == 0
