@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, lines, minhash, quality
-from tidemark.llm.common import shared_dir, written
+from tidemark.llm.common import shared_dir, without, written
 from tidemark.llm.queries import pattern, tokenizer
 
 
@@ -22,21 +22,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup(docs, short=True).select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc, row): whole rows, each with a key, as ids may repeat or be null; a written table."""
+    return written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id. Rows have keys in the order of their ids
-    (nulls last) and texts, as ids may repeat or be null."""
-    all_ = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("at"))
-    order = all_.orderBy(F.asc_nulls_last("doc.doc_id"), F.xxhash64("doc.text"), "at")
-    rows = written(order.select("doc", F.monotonically_increasing_id().alias("row")), "rows")
-    kept = written(minhash.near_duplicates(rows.select("row", "doc.text"), percent=80, id_col="row").where("kept").select("row"), "kept")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    """One document of each group of near-duplicates: that with the smallest id (nulls last), of equal ids one by its text and place."""
+    rows = _rows(docs)
+    found = minhash.near_duplicates(rows.select("row", "doc.text"), percent=80, id_col="row").select("row", "component_id")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("null"), F.col("doc.doc_id").alias("id"), F.xxhash64("doc.text").alias("hash"), "row")
+    placed = written(found.join(rows.select("row", order.alias("place")), "row"), "placed")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = placed.join(first, "component_id").where(F.col("row") != F.col("first.row"))
+    return without(rows, written(gone.select("row"), "gone"), "row").select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark. Rows have keys, as ids may repeat or be null."""
-    rows = written(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    """Documents that hold no passage of the benchmark."""
+    rows = _rows(docs)
     found = decontaminate.contaminated(rows.select("row", "doc.text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
-    return rows.join(written(found.select("row").distinct(), "contaminated"), "row", "left_anti").select("doc.*")
+    return without(rows, written(found.select("row").distinct(), "contaminated"), "row").select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

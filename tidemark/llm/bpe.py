@@ -55,7 +55,7 @@ def with_space_class(pattern: str) -> str:
 class Encoder:
     """Encodes and decodes by the ranks of a vocabulary. Needs a rank for every single byte that occurs."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 500_000):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()

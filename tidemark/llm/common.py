@@ -78,6 +78,14 @@ def hash_filter(scratch: Scratch, ids: DataFrame, col: str) -> Callable[[Column]
     return test
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose long `key` isn't among the keys of the written table `gone`; only rows that may go are shuffled."""
+    scratch = Scratch(rows.sparkSession)
+    hashed = scratch.write(gone.select(F.xxhash64(key).alias("h")), "keys")
+    may_go = hash_filter(scratch, hashed, "h")(F.xxhash64(key))
+    return rows.where(~may_go).unionByName(rows.where(may_go).join(gone.select(key), key, "left_anti"))
+
+
 def free_prefix(*tables: DataFrame) -> str:
     """Underscores that no column begins with, for columns of our own beside a caller's."""
     prefix = "_"

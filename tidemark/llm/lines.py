@@ -151,7 +151,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     gone = scratch.write(gone.select(F.col("id").alias("gone_id"), F.col("k").alias("gone_k"), "gone"), "gone")
     all_ = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), _key(id_col, text_col).alias("k"))
     loses = hash_filter(scratch, gone, "gone_k")(F.col("k"))
-    hit = all_.where(loses).join(gone, (F.col("k") == F.col("gone_k")) & F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("lines", F.split(F.when(F.col("gone").isNotNull(), F.col("doc").getField(text_col)), "\n"))
+    # the size of compressed lists of places says little about their size in memory, so they are never broadcast
+    hit = all_.where(loses).join(gone.hint("merge"), (F.col("k") == F.col("gone_k")) & F.col("id").eqNullSafe(F.col("gone_id")), "left").withColumn("lines", F.split(F.when(F.col("gone").isNotNull(), F.col("doc").getField(text_col)), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("doc").getField(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     hit = hit.select("doc", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n"))

@@ -267,89 +267,87 @@ def _in_cells(df: DataFrame, schema: str, per_cell) -> DataFrame:
     return df.repartition("band", "cell").sortWithinPartitions("band", "cell").mapInArrow(run, schema)
 
 
-def _possible(group: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(x, places of the partners after it, estimates): pairs of the cell that the estimate doesn't rule out and no earlier band has."""
-    band, cell, k = group[0][:3]
-    regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, M)
-    _, label = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)
-    n, block = np.array([g[6] for g in group]), np.array([g[3] for g in group])
-    place, low, cross = bands(regs[0]).index(band), least_estimate(percent / 100), cell // k != cell % k
-    for x in range(len(group)):
-        y = np.arange(x + 1, len(group))
-        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-        if cross:
-            y = y[block[y] != block[x]]
-        if not len(y):
-            continue
-        same = regs[y] == regs[x]
+class _Cell:
+    """The members of a cell and the pairs of them that the estimate doesn't rule out and no earlier band has."""
+
+    def __init__(self, group: list[tuple], percent: int):
+        band, cell, k = group[0][:3]
+        self.percent, self.low, self.cross = percent, least_estimate(percent / 100), cell // k != cell % k
+        self.regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, M)
+        _, self.part = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)  # components, as far as they are known
+        self.n, self.block = np.array([g[6] for g in group]), np.array([g[3] for g in group])
+        self.place = bands(self.regs[0]).index(band)
+
+    def partners(self, x: int) -> np.ndarray:
+        """Places after x of its possible partners in other components, the likeliest first."""
+        y = np.arange(x + 1, len(self.n))
+        y = y[(self.part[y] != self.part[x]) & (100 * np.minimum(self.n[y], self.n[x]) >= self.percent * np.maximum(self.n[y], self.n[x]))]
+        if self.cross:
+            y = y[self.block[y] != self.block[x]]
+        same = self.regs[y] == self.regs[x]
         e = estimate(same.sum(axis=1))
-        ok = np.flatnonzero(e >= low)
-        ok = ok[same[ok][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == place]
-        if len(ok):
-            yield x, y[ok], e[ok]
+        ok = np.flatnonzero(e >= self.low)
+        ok = ok[same[ok][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == self.place]
+        return y[ok][np.argsort(-e[ok], kind="stable")]
 
 
 def suspects(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The rows of cells() that have a possible partner in their cell."""
 
     def per_cell(group: list[tuple]) -> list[tuple]:
-        some = np.zeros(len(group), bool)
-        for x, y, _ in _possible(group, percent):
-            some[x] = some[y] = True
+        cell, some = _Cell(group, percent), np.zeros(len(group), bool)
+        for x in range(len(group)):
+            y = cell.partners(x)
+            some[y] = True
+            some[x] |= len(y) > 0
         return [group[i][:7] for i in np.flatnonzero(some)]
 
     return _in_cells(members.join(reps.select("sid", "regs"), "sid").select("band", "cell", "k", "i", "sid", "label", "n", "regs"), CELL, per_cell)
 
 
 def settled(found: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): confirmed links that join the components of each cell, as many as that takes."""
+    """(a, b): confirmed links that join the components of each cell, as many as that takes. No list of pairs is held:
+    each member meets its likeliest partner first, and then all those in components that are still others."""
 
     def per_cell(group: list[tuple]) -> list[tuple]:
-        pairs = list(_possible(group, percent))
-        if not pairs:
-            return []
-        left = np.repeat([x for x, _, _ in pairs], [len(y) for _, y, _ in pairs])
-        right, likely_ = np.concatenate([y for _, y, _ in pairs]), np.concatenate([e for _, _, e in pairs])
-        order = np.argsort(-likely_, kind="stable")
-        left, right = left[order], right[order]
-        own = [np.frombuffer(g[8], np.uint64) for g in group]
-        _, part = np.unique(np.array([g[5].hex() for g in group]), return_inverse=True)
-        both, out = _meeting(own, len(left)), []
-        for at in range(0, len(left), 1024):
-            x, y = left[at : at + 1024], right[at : at + 1024]
-            apart = part[x] != part[y]
-            x, y = x[apart], y[apart]
-            for i, j, shared in zip(x.tolist(), y.tolist(), both(x, y), strict=True):
-                if part[i] != part[j] and 100 * shared >= percent * (len(own[i]) + len(own[j]) - shared):
-                    part[part == part[j]] = part[i]
-                    out.append((min(group[i][4], group[j][4]), max(group[i][4], group[j][4])))
+        cell, own, out = _Cell(group, percent), [np.frombuffer(g[8], np.uint64) for g in group], []
+        both = _meeting(own)
+        for most in (1, len(group)):
+            for x in range(len(group)):
+                y = cell.partners(x)[:most]
+                for at in range(0, len(y), 256):
+                    some = y[at : at + 256]
+                    some = some[cell.part[some] != cell.part[x]]
+                    for j, shared in zip(some.tolist(), both(x, some), strict=True):
+                        if cell.part[x] != cell.part[j] and 100 * shared >= percent * (len(own[x]) + len(own[j]) - shared):
+                            cell.part[cell.part == cell.part[j]] = cell.part[x]
+                            out.append((min(group[x][4], group[j][4]), max(group[x][4], group[j][4])))
         return out
 
     full = found.join(reps.select("sid", "regs"), "sid").join(sets, "sid")
     return _in_cells(full.select("band", "cell", "k", "i", "sid", "label", "n", "regs", "shingles"), "a binary, b binary", per_cell)
 
 
-def _meeting(own: list[np.ndarray], pairs: int, most_bytes: int = 64 << 20):
-    """A function of places (x, y) that gives the sizes of the sets' intersections: by bits if there are many pairs, else by search."""
-    if pairs > 8 * len(own):
+def _meeting(own: list[np.ndarray], few: int = 64, most_bytes: int = 64 << 20):
+    """A function of a place x and places y that gives the sizes of the sets' intersections: by bits if there are many sets, else by search."""
+    if len(own) > few:
         shared, of = np.unique(np.concatenate(own), return_inverse=True)
         often = np.bincount(of) > 1
         number = np.cumsum(often) - 1
         width = -(-int(often.sum()) // 64)
-        if len(own) * width * 8 <= most_bytes and width:
-            bits, at = np.zeros((len(own), width * 64 // 8), np.uint8), 0
+        if 0 < len(own) * width * 8 <= most_bytes:
+            bits, at = np.zeros((len(own), width * 8), np.uint8), 0
             for i, s in enumerate(own):
                 mine = of[at : at + len(s)]
                 row = np.zeros(width * 64, bool)
                 row[number[mine[often[mine]]]] = True
                 bits[i], at = np.packbits(row), at + len(s)
             bits = bits.view(np.uint64)
-            step = max(1, (8 << 20) // (8 * width))
-            return lambda x, y: [int(c) for k in range(0, len(x), step) for c in np.bitwise_count(bits[x[k : k + step]] & bits[y[k : k + step]]).sum(axis=1, dtype=np.int64)]
+            return lambda x, y: np.bitwise_count(bits[y] & bits[x]).sum(axis=1, dtype=np.int64).tolist()
 
     def search(x, y):
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            a, b = (own[i], own[j]) if len(own[i]) <= len(own[j]) else (own[j], own[i])
+        for j in y.tolist():
+            a, b = (own[x], own[j]) if len(own[x]) <= len(own[j]) else (own[j], own[x])
             yield int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
     return search
