@@ -231,9 +231,9 @@ def test_meeting_by_bits_and_by_search():
 
     r = np.random.default_rng(1)
     own = [np.unique(r.integers(0, 300, 120)).astype(np.uint64) for _ in range(9)]
-    x, y = (a.ravel() for a in np.triu_indices(9, 1))
-    want = [len(np.intersect1d(own[i], own[j])) for i, j in zip(x, y)]
-    assert list(minhash._meeting(own, 1)(x, y)) == list(minhash._meeting(own, 100)(x, y)) == want
+    others = np.array([0, 1, 3, 4, 5, 6, 7, 8])
+    want = [len(np.intersect1d(own[2], own[j])) for j in others]
+    assert list(minhash._meeting(own, 1)(2, others)) == list(minhash._meeting(own, 100)(2, others)) == want
 
 
 def test_clashing_columns_and_empty_tables(spark):
