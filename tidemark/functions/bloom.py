@@ -39,6 +39,18 @@ def might_contain(probes: DataFrame, key: str, filt: DataFrame, n: int, fpr: flo
     ).drop("_k", "_ok")
 
 
-def crc(mask: Column) -> Column:
-    """CRC-32 of a filter's bytes, for a stored copy."""
-    return F.crc32(mask)
+def crc(word: Column, mask: Column) -> Column:
+    """CRC-32 of a row of a filter, for a stored copy: of its place and its 64 bits, big-endian."""
+    return F.crc32(F.unhex(F.concat(F.lpad(F.hex(word), 16, "0"), F.lpad(F.hex(mask), 16, "0"))))
+
+
+def encode(filt: DataFrame) -> DataFrame:
+    """(word, mask, crc): the filter as it is stored."""
+    return filt.select("word", "mask", crc(F.col("word").cast("long"), F.col("mask")).alias("crc"))
+
+
+def decode(stored: DataFrame) -> DataFrame:
+    """(word, mask) of an encoded filter; reading a row whose checksum is wrong raises."""
+    wrong = F.raise_error(F.lit("the checksum of a Bloom filter is wrong")).cast("long")
+    ok = F.col("crc") == crc(F.col("word").cast("long"), F.col("mask"))
+    return stored.select("word", F.when(ok, F.col("mask")).otherwise(wrong).alias("mask"))

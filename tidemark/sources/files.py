@@ -1,7 +1,9 @@
 """Small driver-side files through Hadoop's FileSystem, so any store that Spark reads will do."""
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -41,22 +43,22 @@ class Folder:
     def write_json(self, name: str, value: dict) -> bool:
         """Publish a file under a new name; False if the name is taken.
 
-        The text is whole before the name exists: written beside it, then renamed. create(path,
-        overwrite=False) of a lock file settles two writers of the same name.
+        The text is whole before the name exists: it is written beside it, then renamed without overwriting. A writer that
+        dies before the rename leaves a file that no one waits for.
         """
-        fs = self._fs()
-        lock, temp = self._path(f"_lock.{name}"), self._path(f"_temp.{name}")
+        fs, options = self._fs(), self._jvm.org.apache.hadoop.fs.Options.Rename
+        temp = self._path(f"_temp.{uuid.uuid4().hex}")
         fs.mkdirs(self._path())
-        try:
-            fs.create(lock, False).close()
-        except Exception:  # another writer holds this name
-            return False
-        if fs.exists(self._path(name)):
-            fs.delete(lock, False)
-            return False
-        out = fs.create(temp, True)
+        out = fs.create(temp, False)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        done = fs.rename(temp, self._path(name))
-        fs.delete(lock, False)
-        return done
+        none = self._jvm.java.lang.reflect.Array.newInstance(options.NONE.getClass(), 1)
+        none[0] = options.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self._conf).rename(temp, self._path(name), none)
+        except Py4JJavaError as e:
+            fs.delete(temp, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+        return True

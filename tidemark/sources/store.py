@@ -60,6 +60,8 @@ class Manifest:
     frozen: list[dict] = field(default_factory=list)
     runs: list[dict] = field(default_factory=list)
     snapshots: dict[str, int] = field(default_factory=dict)
+    pinned: dict[str, int] = field(default_factory=dict)  # the manifest that each open snapshot reads
+    batches: dict[str, int] = field(default_factory=dict)  # the last batch of each stream that was committed
 
 
 class Store:
@@ -129,26 +131,35 @@ class Store:
     # -- writes
 
     def put(self, rows: DataFrame) -> int:
-        """Upsert (key, value); keys must be unique. Returns the commit's timestamp."""
+        """Upsert (key, value). Returns the commit's timestamp. A key may stand in one row only: a ValueError, and nothing written, if not."""
         return self._append(rows.select("key", F.lit(VALUE).cast("byte").alias("op"), "value"))
 
     def delete(self, rows: DataFrame) -> int:
         """Tombstones for (key), present or not."""
         return self._append(rows.select("key", F.lit(TOMB).cast("byte").alias("op"), F.lit(None).cast("binary").alias("value")))
 
-    def _append(self, rows: DataFrame) -> int:
+    def _append(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int | None:
         tag = F.when(F.col("op") == TOMB, LOG_TOMB).otherwise(LOG_VALUE)
         records = rows.select(F.lit(0).cast("long").alias("lsn"), tag.cast("byte").alias("rec_type"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("long").alias("txn_id"), "key", "value")
-        return self._log(records)
+        return self._log(records, batch)
 
-    def _log(self, records: DataFrame) -> int:
+    def _log(self, records: DataFrame, batch: tuple[str, int] | None = None) -> int | None:
         """One segment of records without ts; the ts is the manifest's word, so no reader sees a part of it."""
         name = f"wal/{uuid.uuid4().hex}"
         records.select(*[F.col(f.name).cast(f.dataType) for f in WAL]).write.parquet(f"{self.path}/{name}")
         size = self.spark.read.schema(WAL).parquet(f"{self.path}/{name}").agg(F.coalesce(F.sum(payload_size(F.coalesce("key", F.lit(b"")), F.col("value"))), F.lit(0)), F.count(F.lit(1))).first()
 
-        def change(m: Manifest) -> int:
+        again = self.spark.read.schema(WAL).parquet(f"{self.path}/{name}").where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not again.isEmpty():
+            self.folder.delete(name)
+            raise ValueError("a key stands in several rows of one commit")
+
+        def change(m: Manifest) -> int | None:
+            if batch and m.batches.get(batch[0], -1) >= batch[1]:
+                return None  # this batch was committed before its stream failed
             ts = self._tick(m)
+            if batch:
+                m.batches[batch[0]] = batch[1]
             m.active.append({"path": name, "ts": ts, "bytes": size[0], "rows": size[1]})
             return ts
 
@@ -221,7 +232,7 @@ class Store:
         def change(m: Manifest) -> Manifest:
             ts = self._tick(m)
             m.txn_id += 1
-            m.snapshots[mark] = ts
+            m.snapshots[mark], m.pinned[mark] = ts, m.version + 1
             return m
 
         m = self._publish(change)
@@ -229,7 +240,7 @@ class Store:
 
     def release(self, mark: str) -> None:
         if mark in self.manifest().snapshots:
-            self._publish(lambda m: m.snapshots.pop(mark, None))
+            self._publish(lambda m: (m.snapshots.pop(mark, None), m.pinned.pop(mark, None)))
 
     def watermark(self, m: Manifest | None = None) -> int:
         m = m or self.manifest()
@@ -321,11 +332,13 @@ class Store:
         return {"path": name, "level": level, "rows": s[0], "bytes": s[1], "min_key": bytes(s[2]).hex(), "max_key": bytes(s[3]).hex(), "min_ts": s[4], "max_ts": s[5]}
 
     def vacuum(self, keep_manifests: int = 1) -> list[str]:
-        """Delete files that none of the last manifests names. Not beside running writers."""
+        """Delete files that none of the last manifests names, nor one that an open snapshot reads. Not beside running writers."""
         names = [n for n in self.folder.names() if n.startswith("manifest-")]
-        kept = [Manifest(**self.folder.read_json(n)) for n in names[-keep_manifests:]]
+        pinned = {f"manifest-{v:08d}.json" for v in self.manifest().pinned.values()}
+        last = [n for n in names if n in pinned or n in names[-keep_manifests:]]
+        kept = [Manifest(**self.folder.read_json(n)) for n in last]
         used = {x["path"] for m in kept for x in m.active + m.frozen + m.runs}
-        gone = [n for n in names[:-keep_manifests]]
+        gone = [n for n in names if n not in last]
         for top in ["wal", *[f"level_{n}" for n in range(self.config.n_levels)]]:
             gone += [p for n in self.folder.names(top) if (p := f"{top}/{n}") not in used]
         for p in gone:
@@ -357,7 +370,8 @@ class Snapshot:
 class Transaction:
     """Snapshot isolation with buffered writes. Without commit() nothing of it is ever stored.
 
-    Single operations are buffered on the driver; batches stay DataFrames.
+    Single operations are buffered on the driver; batches stay DataFrames. As a context manager it is rolled back
+    at the end of the block unless it was committed.
     """
 
     def __init__(self, store: Store, snapshot: Snapshot):
@@ -366,6 +380,13 @@ class Transaction:
         self._frames: list[DataFrame] = []
         self.open = True
 
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        if self.open:
+            self.rollback()
+
     def _next(self) -> int:
         if not self.open:
             raise RuntimeError("the transaction is over")
@@ -392,7 +413,12 @@ class Transaction:
         return txn.overlay(self.snapshot.read(), self.writes())
 
     def get(self, key: bytes) -> bytes | None:
-        row = self.read().where(F.col("key") == F.lit(key)).select("value").first()
+        """The key's own write, else its snapshot's value: one key is looked up, on both sides."""
+        mine = self.writes().where(F.col("key") == F.lit(key)).select("op", "value").first()
+        if mine is not None:
+            return None if mine["op"] == TOMB else bytes(mine["value"])
+        log = self.store.log(self.snapshot.manifest, key_range=(key, key)).where(F.col("key") == F.lit(key))
+        row = resolve.as_of(log, self.snapshot.ts).select("value").first()
         return None if row is None else bytes(row[0])
 
     def rollback(self) -> None:

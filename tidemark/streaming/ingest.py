@@ -16,11 +16,11 @@ def last_in_batch(batch: DataFrame, order: str) -> DataFrame:
 def ingest(stream: DataFrame, store: Store, checkpoint: str, order: str = "seq") -> StreamingQuery:
     """stream (key, op, value, order) into the store; the last operation of a key in a batch counts.
 
-    A batch that is run again after a failure writes the same state at a later timestamp.
+    The manifest holds the last batch of each stream (by its checkpoint), so a batch that is run again after a failure is committed once.
     """
 
-    def commit(batch: DataFrame, _: int) -> None:
+    def commit(batch: DataFrame, number: int) -> None:
         rows = last_in_batch(batch, order).select("key", F.col("op").cast("byte").alias("op"), F.when(F.col("op") != TOMB, F.col("value")).alias("value"))
-        store._append(rows)
+        store._append(rows, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
