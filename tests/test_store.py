@@ -125,3 +125,63 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("seq long, key binary, op int, value binary").parquet(src)
     ingest(stream, store, str(tmp_path / "cp")).awaitTermination()
     assert state(store.live()) == {b"a": b"2"}
+
+
+def test_vacuum_keeps_what_open_snapshots_read(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "v"))
+    store.put(frame(spark, (b"a", b"1")))
+    store.persist()
+    with store.snapshot() as snap:
+        store.put(frame(spark, (b"a", b"2")))
+        store.persist()
+        store.compact(0)
+        store.vacuum()
+        assert state(snap.read()) == {b"a": b"1"}
+    store.vacuum()
+    assert state(Store.load(spark, str(tmp_path / "v")).live()) == {b"a": b"2"} and store.manifest().pinned == {}
+
+
+def test_left_files_of_dead_writers_and_taken_names(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "d"))
+    (tmp_path / "d" / "_temp.dead").write_text("{")
+    (tmp_path / "d" / "_lock.manifest-00000001.json").write_text("")
+    assert store.put(frame(spark, (b"a", b"1"))) == 2 and store.get(b"a") == b"1"
+    assert not store.folder.write_json("manifest-00000001.json", {}) and store.manifest().version == 1
+
+
+def test_keys_are_unique_in_a_commit(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "u"))
+    with pytest.raises(ValueError):
+        store.put(frame(spark, (b"a", b"1"), (b"a", b"2")))
+    assert store.live().count() == 0 and store.manifest().active == []
+
+
+def test_dropped_transactions(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "x"))
+    store.put(frame(spark, (b"a", b"1")))
+    with store.transaction() as t:
+        t.put(b"a", b"2")
+        t.delete(b"b")
+        assert t.get(b"a") == b"2" and t.get(b"b") is None and t.get(b"no") is None
+    with pytest.raises(KeyError), store.transaction() as t:
+        raise KeyError
+    assert store.manifest().snapshots == {} and store.get(b"a") == b"1"
+
+
+def test_streams_commit_a_batch_once(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "b"))
+    rows = spark.createDataFrame([(bytearray(b"a"), 0, bytearray(b"1"))], "key binary, op byte, value binary")
+    assert store._append(rows, ("s", 0)) == 2 and store._append(rows, ("s", 0)) is None and store._append(rows, ("t", 0)) == 3
+
+
+def test_bloom_codec(spark):
+    from tidemark.functions import bloom
+
+    made = bloom.build(spark.range(5000).select(F.concat(F.lit("key_"), "id").alias("k")), "k", 5000, 0.01)
+    stored = bloom.encode(made)
+    assert sorted(bloom.decode(stored).collect()) == sorted(made.collect())
+    probes = spark.range(4000, 15000).select("id", F.concat(F.lit("key_"), "id").alias("k"))
+    hit = bloom.might_contain(probes, "k", bloom.decode(stored), 5000, 0.01)
+    assert hit.where("id < 5000 and not might_contain").count() == 0 and hit.where("id >= 5000 and might_contain").count() < 300
+    with pytest.raises(Exception, match="checksum"):
+        bloom.decode(stored.withColumn("mask", F.col("mask") + 1)).collect()
