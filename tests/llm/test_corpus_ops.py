@@ -169,8 +169,9 @@ def test_chat(spark):
     assert chat.collapse(turns.limit(0)).count() == 0
 
 
-def test_chat_same_as_sql(spark):
-    assert same(spark, queries.QUERIES["op10_chat"], queries.ORACLES["op10_chat"]) > 0
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    assert same(spark, queries.QUERIES[name], queries.ORACLES[name]) > 0
 
 
 def test_pipeline_keys_rows_not_ids(spark):
