@@ -132,8 +132,9 @@ def test_vacuum_keeps_what_open_snapshots_read(spark, tmp_path):
     store.put(frame(spark, (b"a", b"1")))
     store.persist()
     with store.snapshot() as snap:
-        store.put(frame(spark, (b"a", b"2")))
+        t = store.put(frame(spark, (b"a", b"2")))
         store.persist()
+        assert len(store.as_of(t - 1).inputFiles()) < len(store.as_of(t).inputFiles()) and state(store.as_of(t - 1)) == {b"a": b"1"}
         store.compact(0)
         store.vacuum()
         assert state(snap.read()) == {b"a": b"1"}

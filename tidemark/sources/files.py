@@ -19,17 +19,10 @@ class Folder:
     def _fs(self):
         return self._path().getFileSystem(self._conf)
 
-    def exists(self, name: str = "") -> bool:
-        return self._fs().exists(self._path(name))
-
     def names(self, name: str = "") -> list[str]:
         fs, p = self._fs(), self._path(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def size(self, name: str) -> int:
-        fs, p = self._fs(), self._path(name)
-        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-
     def delete(self, name: str = "") -> None:
         self._fs().delete(self._path(name), True)
 

@@ -186,10 +186,10 @@ class Store:
         df = self.spark.read.schema(WAL).parquet(*[f"{self.path}/{s['path']}" for s in segments])
         return df.withColumn("ts", F.coalesce("ts", F.element_at(stamp, folder)))
 
-    def log(self, m: Manifest | None = None, key_range: tuple | None = None) -> DataFrame:
-        """Every stored version (key, ts, op, value). Runs outside key_range aren't opened."""
+    def log(self, m: Manifest | None = None, key_range: tuple | None = None, ts: int | None = None) -> DataFrame:
+        """Every stored version (key, ts, op, value). Runs outside key_range, or that begin after ts, aren't opened."""
         m = m or self.manifest()
-        runs = [r for r in m.runs if key_range is None or _overlaps(r, *key_range)]
+        runs = [r for r in m.runs if (key_range is None or _overlaps(r, *key_range)) and (ts is None or r["min_ts"] <= ts)]
         parts = [wal.replay(self.wal(m))] if m.frozen or m.active else []
         if runs:
             parts.append(self.spark.read.schema(CHANGE_LOG).parquet(*[f"{self.path}/{r['path']}" for r in runs]))
@@ -199,18 +199,18 @@ class Store:
         return resolve.live(self.log())
 
     def as_of(self, ts: int) -> DataFrame:
-        return resolve.as_of(self.log(), ts)
+        return resolve.as_of(self.log(ts=ts), ts)
 
     def get(self, key: bytes, ts: int | None = None) -> bytes | None:
         """One key, with the predicate pushed to the scan."""
-        row = resolve.drop_tombs(resolve.newest(self.log(key_range=(key, key)).where(F.col("key") == F.lit(key)), ts)).select("value").first()
+        row = resolve.drop_tombs(resolve.newest(self.log(key_range=(key, key), ts=ts).where(F.col("key") == F.lit(key)), ts)).select("value").first()
         return None if row is None else bytes(row[0])
 
     def multi_get(self, probes: DataFrame, ts: int | None = None) -> DataFrame:
-        return resolve.multi_get(self.log(), probes, ts)
+        return resolve.multi_get(self.log(ts=ts), probes, ts)
 
     def range_scan(self, low: bytes | None = None, high: bytes | None = None, ts: int | None = None) -> DataFrame:
-        return resolve.range_scan(self.log(key_range=(low, high)), low, high, ts)
+        return resolve.range_scan(self.log(key_range=(low, high), ts=ts), low, high, ts)
 
     def history(self) -> DataFrame:
         return resolve.history(self.log())
@@ -364,7 +364,7 @@ class Snapshot:
         return self.store.log(self.manifest)
 
     def read(self) -> DataFrame:
-        return resolve.as_of(self.log(), self.ts)
+        return resolve.as_of(self.store.log(self.manifest, ts=self.ts), self.ts)
 
 
 class Transaction:
@@ -417,7 +417,7 @@ class Transaction:
         mine = self.writes().where(F.col("key") == F.lit(key)).select("op", "value").first()
         if mine is not None:
             return None if mine["op"] == TOMB else bytes(mine["value"])
-        log = self.store.log(self.snapshot.manifest, key_range=(key, key)).where(F.col("key") == F.lit(key))
+        log = self.store.log(self.snapshot.manifest, key_range=(key, key), ts=self.snapshot.ts).where(F.col("key") == F.lit(key))
         row = resolve.as_of(log, self.snapshot.ts).select("value").first()
         return None if row is None else bytes(row[0])
 
