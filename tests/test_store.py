@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import gc, resolve
-from tidemark.operators.layout import LevelPolicy, plan
+from tidemark.operators.layout import LevelPolicy, plan, sparse_index
 from tidemark.sources.store import Config, Conflict, Store
 from tidemark.streaming.ingest import ingest
 
@@ -186,3 +186,58 @@ def test_bloom_codec(spark):
     assert hit.where("id < 5000 and not might_contain").count() == 0 and hit.where("id >= 5000 and might_contain").count() < 300
     with pytest.raises(Exception, match="checksum"):
         bloom.decode(stored.withColumn("mask", F.col("mask") + 1)).collect()
+
+
+def test_compaction_cuts_runs_by_size(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "c"), Config(level_0_bytes=600, multiplier=1))
+    want = {b"k%03d" % i: b"v" * 40 for i in range(100)}
+    store.put(frame(spark, *want.items()))
+    store.persist()
+    store.delete(keys(spark, b"k000", b"k050"))
+    store.persist()
+    store.compact(0)
+    runs = store.manifest().runs
+    assert len(runs) > 3 and sum(r["rows"] for r in runs) == 102
+    assert all(a["max_key"] < b["min_key"] for a, b in zip(runs, runs[1:]))
+    want = {k: v for k, v in want.items() if k not in (b"k000", b"k050")}
+    assert store.vacuum() and state(store.live()) == want and store.get(b"k051") == b"v" * 40 and store.get(b"k050") is None
+    for _ in range(2):  # the last commit is behind the watermark once the clock has gone on
+        with store.snapshot():
+            pass
+    store.compact(1, purge_tombs=True)
+    assert store.log().where("op = 1").count() == 0 and state(store.live()) == want
+
+
+def test_tombs_stay_above_older_runs(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "p"))
+    store.put(frame(spark, (b"a", b"1")))
+    store.persist()
+    store.compact(0)
+    store.delete(keys(spark, b"a"))
+    store.persist()
+    for _ in range(2):
+        with store.snapshot():
+            pass
+    store.compact(0, purge_tombs=True)
+    assert store.log().where("op = 1").count() == 1 and store.get(b"a") is None
+
+
+def test_auto_flush_waits_for_its_size(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "w"), Config(freeze_size=1, flush_size=10, auto=True))
+    for n, runs in ((1, 0), (2, 0), (3, 1)):
+        store.put(frame(spark, (b"k%d" % n, b"vv")))
+        assert len(store.manifest().runs) == runs
+
+
+def test_sparse_index_of_spread_runs(spark):
+    rows = [(k, f"k{t % n:03d}", t, int(t % 9 == 0), None if t % 9 == 0 else "v" * (t % 13)) for k, n in (("one", 1), ("many", 90), (None, 7)) for t in range(700)]
+    log = spark.createDataFrame(rows, "run_id string, key string, ts long, op int, value string")
+    got = {(r["run_id"], r["block"]): (r["offset"], r["first_key"], r["first_ts"]) for r in sparse_index(log, 200, tasks=12).collect()}
+    want = {}
+    for run in ("one", "many", None):
+        at = 0
+        for _, k, t, op, v in sorted((r for r in rows if r[0] == run), key=lambda r: (r[1], -r[2])):
+            want.setdefault((run, at // 200), (at, k, t))
+            at += 11 + len(k) if op else 13 + len(k) + len(v)
+    assert got == want
+    assert sparse_index(log.limit(0), 200).count() == 0

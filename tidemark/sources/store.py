@@ -16,8 +16,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions.sizing import payload_size, record_size
 from tidemark.operators import gc, resolve, txn, wal
@@ -32,17 +33,22 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Config:
-    """Sizes in bytes; the sums of key and value lengths count. levels besides level 0."""
+    """Sizes in bytes; the sums of key and value lengths count. levels besides level 0.
+
+    A compaction into level n cuts its output into runs of about level_0_bytes * multiplier^n encoded bytes that don't
+    overlap in key. The default is sized for files of a distributed file system. With `auto`, frozen segments are flushed
+    once they hold more than flush_size; at 0 every frozen segment is.
+    """
 
     freeze_size: int = 1 << 20
-    flush_size: int = 4 << 20
+    flush_size: int = 0
     bloom_fpr: float = 0.01
     bloom_keys: int = 1_000_000
     auto: bool = False
     n_levels: int = 4
     max_runs: tuple[int, ...] = (32, 32, 100_000)
-    level_0_bytes: int = 65_536
-    multiplier: int = 1
+    level_0_bytes: int = 1 << 28
+    multiplier: int = 4
     max_records_per_file: int = 5_000_000
 
     @property
@@ -166,7 +172,7 @@ class Store:
         ts = self._publish(change)
         if self.config.auto:
             self.freeze()
-            self.flush()
+            self.flush(force=False)
             self.compact()
         return ts
 
@@ -286,23 +292,27 @@ class Store:
         self.freeze(force=True)
         return self.flush()
 
-    def compact(self, level: int | None = None) -> list[tuple[int, int]]:
-        """The compactions that are due, or the one of a given level, forced."""
+    def compact(self, level: int | None = None, purge_tombs: bool = False) -> list[tuple[int, int]]:
+        """The compactions that are due, or the one of a given level, forced.
+
+        purge_tombs drops old tombstones too, in compactions whose target and deeper levels hold no run they could hide.
+        """
         m, done = self.manifest(), []
         counts = {n: sum(r["level"] == n for r in m.runs) for n in range(self.config.n_levels)}
         for a, b in [(level, level + 1)] if level is not None else plan(counts, self.config.policy):
-            if self._compact(a, b):
+            if self._compact(a, b, purge_tombs):
                 done.append((a, b))
         return done
 
-    def _compact(self, a: int, b: int) -> bool:
+    def _compact(self, a: int, b: int, purge_tombs: bool = False) -> bool:
         m = self.manifest()
         runs = [r for r in m.runs if r["level"] == a]
         if not runs or b >= self.config.n_levels:
             return False
         mark = self.watermark(m)
+        purge = purge_tombs and not any(r["level"] >= b for r in m.runs)
         df = self.spark.read.schema(CHANGE_LOG).parquet(*[f"{self.path}/{r['path']}" for r in runs])
-        new = self._write_run(gc.compact(df, mark), b)
+        new = self._write_runs(gc.compact(df, mark, purge), b)
         gone = {r["path"] for r in runs}
 
         def change(now: Manifest) -> None:
@@ -310,26 +320,53 @@ class Store:
                 raise Conflict("another writer compacted these runs")
             if any(ts < mark for ts in now.snapshots.values()):
                 raise Conflict("an older snapshot was opened meanwhile")
-            now.runs = [r for r in now.runs if r["path"] not in gone] + ([new] if new else [])
+            if purge and any(r["level"] >= b for r in now.runs):
+                raise Conflict("older runs came below meanwhile")
+            now.runs = [r for r in now.runs if r["path"] not in gone] + new
 
         self._publish(change)
         return True
 
-    def _write_run(self, log: DataFrame, level: int) -> dict | None:
-        """A sorted run: key ranges, Bloom filter and statistics in the Parquet files."""
-        c, name = self.config, f"level_{level}/run_{uuid.uuid4().hex}"
-        (
-            log.select(*[F.col(f.name).cast(f.dataType) for f in CHANGE_LOG]).repartitionByRange("key").sortWithinPartitions("key", F.desc("ts"))
-            .write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(c.bloom_fpr))
+    def _writer(self, df: DataFrame) -> DataFrameWriter:
+        c = self.config
+        return (
+            df.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.fpp#key", str(c.bloom_fpr))
             .option("parquet.bloom.filter.expected.ndv#key", str(c.bloom_keys)).option("maxRecordsPerFile", c.max_records_per_file)
-            .parquet(f"{self.path}/{name}")
         )
-        size = record_size(F.col("key"), F.col("value"), F.col("op"))
-        s = self.spark.read.schema(CHANGE_LOG).parquet(f"{self.path}/{name}").agg(F.count(F.lit(1)), F.sum(size), F.min("key"), F.max("key"), F.min("ts"), F.max("ts")).first()
-        if not s[0]:
+
+    def _columns(self, log: DataFrame) -> DataFrame:
+        return log.select(*[F.col(f.name).cast(f.dataType) for f in CHANGE_LOG])
+
+    def _write_run(self, log: DataFrame, level: int) -> dict | None:
+        """A sorted run: key ranges, Bloom filter and statistics in the Parquet files."""
+        name = f"level_{level}/run_{uuid.uuid4().hex}"
+        self._writer(self._columns(log).repartitionByRange("key").sortWithinPartitions("key", F.desc("ts"))).parquet(f"{self.path}/{name}")
+        found = self._stats(self.spark.read.schema(CHANGE_LOG).parquet(f"{self.path}/{name}"), level, lambda r: name)
+        if not found:
             self.folder.delete(name)
-            return None
-        return {"path": name, "level": level, "rows": s[0], "bytes": s[1], "min_key": bytes(s[2]).hex(), "max_key": bytes(s[3]).hex(), "min_ts": s[4], "max_ts": s[5]}
+        return found[0] if found else None
+
+    def _write_runs(self, log: DataFrame, level: int) -> list[dict]:
+        """Sorted runs of about the level's target bytes, disjoint in key, as folders of one write."""
+        name = f"level_{level}/runs_{uuid.uuid4().hex}"
+        cut = gc.split_runs(self._columns(log), self.config.policy.target_bytes(level)).sortWithinPartitions("run_id", "key", F.desc("ts"))
+        self._writer(cut).partitionBy("run_id").parquet(f"{self.path}/{name}")
+        schema = StructType([*CHANGE_LOG, StructField("run_id", LongType())])
+        found = self._stats(self.spark.read.schema(schema).parquet(f"{self.path}/{name}"), level, lambda r: f"{name}/run_id={r['run_id']}", "run_id")
+        if not found:
+            self.folder.delete(name)
+        return found
+
+    def _stats(self, df: DataFrame, level: int, path: Callable[[Row], str], *by: str) -> list[dict]:
+        """The manifest's entry of every run, read back from what was written."""
+        size = record_size(F.col("key"), F.col("value"), F.col("op"))
+        stats = df.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")
+        ).where("rows > 0").collect()
+        return [
+            {"path": path(r), "level": level, "rows": r["rows"], "bytes": r["bytes"], "min_key": bytes(r["low"]).hex(), "max_key": bytes(r["high"]).hex(), "min_ts": r["min_ts"], "max_ts": r["max_ts"]}
+            for r in sorted(stats, key=lambda r: bytes(r["low"]))
+        ]
 
     def vacuum(self, keep_manifests: int = 1) -> list[str]:
         """Delete files that none of the last manifests names, nor one that an open snapshot reads. Not beside running writers."""
@@ -337,7 +374,7 @@ class Store:
         pinned = {f"manifest-{v:08d}.json" for v in self.manifest().pinned.values()}
         last = [n for n in names if n in pinned or n in names[-keep_manifests:]]
         kept = [Manifest(**self.folder.read_json(n)) for n in last]
-        used = {x["path"] for m in kept for x in m.active + m.frozen + m.runs}
+        used = {"/".join(x["path"].split("/")[:2]) for m in kept for x in m.active + m.frozen + m.runs}
         gone = [n for n in names if n not in last]
         for top in ["wal", *[f"level_{n}" for n in range(self.config.n_levels)]]:
             gone += [p for n in self.folder.names(top) if (p := f"{top}/{n}") not in used]
